@@ -12,12 +12,25 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import regex
 
-MOST = 200_000
+MOST = 400_000
+SPACE = r"\t-\r\x20\x85\p{Z}"
+#: The pre-token patterns of the public vocabularies.
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+BYTES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+
+
+def byte_letters() -> dict[str, int]:
+    """The printable stand-in letter of each byte in byte-level vocabularies, by its public rule."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 def lowered(text: str) -> str:
@@ -81,12 +94,25 @@ class Remembered(Runs):
         self.words = kind == "word"
         if self.words:
             self.run.normalizer = normalizers.Sequence([])  # runs are in normal form when they are cut
+        self.model, self.split = self.whole.model, regex.compile(WORDS if self.words else BYTES).findall
+        self.shown = {b: c for c, b in byte_letters().items()}
+        self.pieces: dict[str, bytes] = {}
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def encode_piece(self, piece: str) -> bytes:
+        if (got := self.pieces.get(piece)) is None:
+            if len(self.pieces) > MOST:
+                self.pieces.clear()
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
+            got = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
+
     def encode_runs(self, runs: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.run.encode_batch(runs, add_special_tokens=False)]
+        # on unassigned characters pattern engines differ
+        odd = lambda r: not r.isascii() and any(unicodedata.category(c) == "Cn" for c in r)
+        return [np.array(self.run.encode(r, add_special_tokens=False).ids, "<u4").tobytes() if odd(r) else b"".join(map(self.encode_piece, self.split(r))) for r in runs]
 
     def ids(self, text: str | None) -> bytes:
         """A null text has no ids."""

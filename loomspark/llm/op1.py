@@ -31,20 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, table, text_batches
-from .memo import lowered
+from .memo import byte_letters, lowered
 
 END = 256  # added to a word's last byte
 CHUNK = 512
 TABLE_BITS = 21
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable stand-in letter of each byte in byte-level vocabularies, by its public rule."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class Transducer:
     """Lazily compiled from a .json vocabulary with merges and a word-end suffix."""
 
