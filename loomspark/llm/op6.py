@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, table
-from .memo import Runs
+from .memo import MOST, Runs
 
+#: Characters of a pre-token whose ids are remembered.
+SHORT = 64
 SPACE = r"\t-\r\x20\x85\p{Z}"
 
 
@@ -43,6 +46,7 @@ class RankCodec(Runs):
         # the library's \s is Unicode's White_Space
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")).findall
         self.fits_known: dict[int, bool] = {}
+        self.pieces: dict[str, bytes] = {}
         self.automaton = ahocorasick.Automaton()
         usable = {b for b, r in self.ranks.items() if len(b) == 1 or self.merged(b) == [r]}
         self.shorter = {}
@@ -66,7 +70,7 @@ class RankCodec(Runs):
     def fits(self, a: int, b: int) -> bool:
         key = a << 32 | b
         if (got := self.fits_known.get(key)) is None:
-            if len(self.fits_known) > 300_000:
+            if len(self.fits_known) > 1_000_000:
                 self.fits_known.clear()
             got = self.fits_known[key] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return got
@@ -79,22 +83,35 @@ class RankCodec(Runs):
         longest = [-1] * (n + 1)
         for end, (r, size) in self.automaton.iter(word.decode("latin-1")):
             longest[end + 1 - size] = r  # ends come in rising order
-        dead, out, at, token = bytearray(n + 1), [], 0, longest[0]
+        length, shorter, known = self.length, self.shorter, self.fits_known.get
+        dead, out, at, token, last = bytearray(n + 1), [], 0, longest[0], -1
         while at < n:
-            while token >= 0 and (dead[at + self.length[token]] or out and not self.fits(out[-1], token)):
-                token = self.shorter[token]
+            while token >= 0 and (dead[at + length[token]] or last >= 0 and not ((f := known(last << 32 | token)) or f is None and self.fits(last, token))):
+                token = shorter[token]
             if token >= 0:
-                out.append(token)
-                at += self.length[token]
+                out.append(last := token)
+                at += length[token]
                 token = longest[at]
             else:
                 dead[at] = 1
                 token = out.pop()
-                at -= self.length[token]
+                at -= length[token]
+                last = out[-1] if out else -1
         return out
 
+    def encode_piece(self, piece: str) -> bytes:
+        """Ids of one pre-token; those of short ones are remembered."""
+        if (got := self.pieces.get(piece)) is None:
+            ids = self.piece(piece.encode())
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(piece) <= SHORT:
+                if len(self.pieces) > MOST:
+                    self.pieces.clear()
+                self.pieces[piece] = got
+        return got
+
     def encode_whole(self, text: str) -> bytes:
-        return b"".join(np.array(self.piece(p.encode()), "<u4").tobytes() for p in self.split(text))
+        return b"".join(map(self.encode_piece, self.split(text)))
 
     def encode_runs(self, runs: list[str]) -> list[bytes]:
         return [self.encode_whole(r) for r in runs]
