@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, forest, table
 
-SAMPLE, LEAVES, BLOCK, ROWS = 2048, 256, 2048, 256
+SAMPLE, LEAVES, BLOCK, ROWS = 2048, 256, 8192, 256
 SLACK = 1e-9
 
 
