@@ -9,7 +9,7 @@ from urllib.parse import parse_qs, unquote, urlsplit
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import bound, quoted
+from ..functions.expressions import bound, column_of, quoted
 from ..operators.query import Query
 from ..operators.relations import Registry, TableQuery
 from ..plans.sqltext import SqlText
@@ -39,6 +39,9 @@ class Database:
         self.spark, self.folder, self.store, self.jdbc = spark, folder, store, jdbc
         self.frames: dict[str, DataFrame] = {}
         self.registry = Registry()
+        #: Table -> policy name -> condition; only tables in ``secured`` apply theirs.
+        self.policies: dict[str, dict[str, Any]] = {}
+        self.secured: set[str] = set()
 
     @classmethod
     def connect(cls, spark: SparkSession, url: str) -> Database:
@@ -54,8 +57,27 @@ class Database:
         self.frames[table.name] = df
         df.createOrReplaceTempView(table.name)
 
+    def create_policy(self, table: TableDef, name: str, condition: Any) -> None:
+        """Rows that any policy of a secured table lets through are visible in scans of it."""
+        self.policies.setdefault(table.name, {})[name] = condition
+
+    def enable_row_security(self, table: TableDef) -> None:
+        self.secured.add(table.name)
+
+    def disable_row_security(self, table: TableDef) -> None:
+        self.secured.discard(table.name)
+
     def scan(self, table: TableDef) -> DataFrame:
-        """The table with its columns under their code names."""
+        """The table with its columns under their code names; of a secured table, the visible rows."""
+        df = self._whole(table)
+        if table.name not in self.secured:
+            return df
+        visible = F.lit(False)
+        for condition in self.policies.get(table.name, {}).values():
+            visible = visible | column_of(condition)
+        return df.alias(table.name).filter(visible)
+
+    def _whole(self, table: TableDef) -> DataFrame:
         if table.name in self.frames:
             df = self.frames[table.name]
         elif self.store is not None and self.store.exists(table.name):

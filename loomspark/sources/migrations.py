@@ -377,3 +377,32 @@ def table_code(t: TableDef) -> str:
     lines = [f"    {n!r}: ColumnDef({', '.join([repr(shown[n].type), *(f'{k}={v!r}' for k, v in f.items())])})," for n, f in fields.items()]
     more = "".join(f", {k}={v!r}" for k in ("schema", "uniques", "indexes", "foreign_keys", "comment") if (v := getattr(t, k)))
     return "\n".join([f"{re.sub(r'\W', '_', t.name).upper()} = TableDef({t.name!r}, {{", *lines, f"}}{more})"])
+
+
+def squash(migrator: Migrator) -> str:
+    """One migration file that makes all stored tables, in place of those in the folder, which move to ``archived``.
+
+    The ledger then holds the new migration alone, as its work is done.
+    """
+    db, folder = migrator.db, migrator.source
+    if not isinstance(folder, str):
+        raise ValueError("only a folder of migrations can be squashed")
+    if waiting := migrator.pending():
+        raise RuntimeError(f"not applied yet: {waiting}")
+    tables = [db.store.definition(n) for n in db.store.names() if n != migrator.ledger.name]
+    code = "\n\n".join(map(table_code, tables))
+    names = [re.sub(r"\W", "_", t.name).upper() for t in tables]
+    os.makedirs(os.path.join(folder, "archived"), exist_ok=True)
+    for name in migrator.known():
+        os.rename(os.path.join(folder, f"{name}.py"), os.path.join(folder, "archived", f"{name}.py"))
+    new = f"{dt.datetime.now():%Y_%m_%d_%H%M%S}_squashed"
+    path = os.path.join(folder, f"{new}.py")
+    with open(path, "w") as file:
+        file.write(f"from loomspark.schema import ColumnDef, ForeignKey, TableDef\nfrom loomspark.sources.migrations import Migration\n\n{code}\n\nTABLES = [{', '.join(names)}]\n\n\nclass Change(Migration):\n    def up(self):\n        self.db.create_tables(*TABLES)\n\n    def down(self):\n        self.db.drop_tables(*TABLES)\n")
+
+    def work(_: Any) -> None:
+        db.delete(migrator.ledger).execute()
+        db.insert(migrator.ledger).values({"migration": new, "batch": 1}).execute()
+
+    db.transaction(work)
+    return path
