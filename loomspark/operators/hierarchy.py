@@ -8,7 +8,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import quoted
+from ..functions.expressions import eq, quoted
 from ..schema import TableDef
 
 if TYPE_CHECKING:
@@ -79,3 +79,26 @@ def create_chain(db: Database, levels: list[tuple[str, TableDef, str | None, dic
 
     db.transaction(work)
     return ids
+
+
+def update_chain(db: Database, levels: list[tuple[TableDef, int, dict]], key: str = "id") -> int:
+    """Sets values on the rows of a chain in one transaction: (table, key, values); levels without values stay."""
+    return db.transaction(lambda db: sum(db.update(table).set(values).where(eq(table[key], at)).execute() for table, at, values in levels if values))
+
+
+def delete_chain(db: Database, levels: list[tuple[TableDef, int]], key: str = "id") -> int:
+    """Deletes the rows of a chain in one transaction, from the leaf to the root; levels come from the root."""
+    return db.transaction(lambda db: sum(db.delete(table).where(eq(table[key], at)).execute() for table, at in reversed(levels)))
+
+
+def serialized(base: TableDef, nodes: list[TypeNode] | tuple[TypeNode, ...]) -> Column:
+    """JSON of a row of ``with_delegates``: ``_type``, ``_data`` and ``_delegate`` by level; null values are left out."""
+
+    def delegate(nodes) -> Column:
+        found = [F.when(F.col(f"_{n.name}").isNotNull(), F.parse_json(F.to_json(F.struct(*level(n.name, F.col(f"_{n.name}"), n.children))))) for n in nodes]
+        return F.coalesce(*found)
+
+    def level(name: str, data: Column, nodes) -> list[Column]:
+        return [F.lit(name).alias("_type"), data.alias("_data"), *([delegate(nodes).alias("_delegate")] if nodes else [])]
+
+    return F.to_json(F.struct(*level(base.name, F.struct(*(F.col(quoted(c)) for c in base.columns)), nodes)))

@@ -99,6 +99,8 @@ def execute(query: Query) -> Any:
         if not query.changes:
             raise ValueError("nothing to set")
         changes = dict(query.changes)
+        if unknown := [k for k in changes if k not in table.columns]:
+            raise ValueError(f"unknown columns {unknown}")
         new = current.select(*(F.when(condition, _value(changes[n], c.spark_type)).otherwise(F.col(f"{quoted(table.name)}.{quoted(n)}")).alias(n) if n in changes else F.col(f"{quoted(table.name)}.{quoted(n)}") for n, c in table.columns.items()), condition.alias("__hit"))
         new = new.persist()
         try:
