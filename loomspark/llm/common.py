@@ -39,6 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_batches(rows: Iterable[tuple], of=lambda row: row[1], most: int = BATCH_CHARS) -> Iterator[list[tuple]]:
     """Groups rows into lists whose texts add up to ``most`` characters or little more."""
     batch, chars = [], 0

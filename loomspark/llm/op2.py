@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, unused
 
 ALPHA, DELTA = 0.05, 0.05
 STEPS = 50
@@ -63,8 +63,12 @@ def repeated_words(words: Column, width: int) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """key, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and n_capitals of each row."""
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", also: dict[str, Column] | None = None) -> DataFrame:
+    """key, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and n_capitals of each row.
+
+    ``also``: further columns to carry along, by name.
+    """
+    more = {n: c.alias(n) for n, c in (also or {}).items()}
     t = F.coalesce(F.col(text), F.lit(""))
     count = lambda of, chars: F.length(of) - F.length(F.translate(of, chars, ""))
     words = F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
@@ -72,8 +76,8 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum:
     # each array is computed once, inside one expression
     by_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w, 8).alias("n_repeat_words")))
     by_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    got = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), by_words.alias("w"), by_lines.alias("x"), F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"), count(t, SYMBOLS).cast("long").alias("n_symbols"), count(t, CAPITALS).cast("long").alias("n_capitals"))
-    return got.select("doc_id", "stratum", "w.*", "x.*", "word_chars", "n_symbols", "n_capitals")
+    got = docs.select(*more.values(), F.col(key).alias("doc_id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), by_words.alias("w"), by_lines.alias("x"), F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"), count(t, SYMBOLS).cast("long").alias("n_symbols"), count(t, CAPITALS).cast("long").alias("n_capitals"))
+    return got.select(*more, "doc_id", "stratum", "w.*", "x.*", "word_chars", "n_symbols", "n_capitals")
 
 
 def steps() -> Column:
@@ -115,13 +119,21 @@ def judged(rows: DataFrame, found: list[tuple[str, str, int]]) -> DataFrame:
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
-def rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+def rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", also: dict[str, Column] | None = None) -> DataFrame:
     """labels: (key, label 1 good or 0). Measured rows of ``docs`` with base_failed and kept; the key is named doc_id."""
-    rows = cut(measured(docs, key, text, stratum))
+    rows = cut(measured(docs, key, text, stratum, also))
     good = labels.where("label = 1").select(F.col(key).alias("good_id")).distinct()
     return judged(rows, cutoffs(rows.join(good, F.col("doc_id") == F.col("good_id"), "left_semi")))
 
 
+def passing(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep. Rows that repeat a key, or have none, are told apart by what is judged."""
+    judged_by = F.xxhash64(F.col(text), F.coalesce(F.col(stratum), F.lit("")))
+    k, h = unused(docs, "kept_key"), unused(docs, "kept_hash")
+    kept = rules(docs, labels, key, text, stratum, {h: judged_by}).where("kept").select(F.col("doc_id").alias(k), h).distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col(k)) & (judged_by == F.col(h)), "left_semi")
+
+
 RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

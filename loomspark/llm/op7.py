@@ -1,8 +1,8 @@
 """SimHash near-dedup by anchor-point covering.
 
 Fingerprints: lower-cased words, shingles of ``words`` words, XXH64 with seed 42; a bit is set if it is in over half of
-the shingles' hashes. Distinct fingerprints are classes, named by their smallest document; everything below runs over
-classes, so copies cost nothing.
+the shingles' hashes. Distinct fingerprints are classes; everything below runs over classes, so copies cost nothing. A
+component of classes is named by its smallest document.
 
 Search for pairs with at most four differing bits: cut the 64 bits into three blocks; some block then differs in at most
 one bit. A block's first 15 bits are covered by the perfect Hamming code (covering radius 1) and its other bits by all
@@ -12,9 +12,9 @@ bit away (at most 22, 14 or 15 as a rule), so each linked pair meets at the home
 compared. An anchor with over ``TILE`` members is dealt to pairs of tiles, so no task holds more than two tiles of it.
 
 Links become one spanning forest per task and buffer before they are shuffled; components are found by distributed
-rounds. Null and empty texts have fingerprint zero, which links like any other. Rows that repeat a key are one class
-each by their own texts. Rows with a null key get the component of their fingerprint, null if it has no other key. An
-empty table gives no rows. Other columns are ignored.
+rounds. Null and empty texts have fingerprint zero, which links like any other. Rows that repeat a key have the class
+of their own text each. Rows with a null key link like any other; a component without any key is named null. An empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, cut, forest, table
+from .common import arrow_rows, components, cut, forest, table, unused
 
 BITS = 4
 #: First bit and size of each block.
@@ -75,9 +75,9 @@ def replicas(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(anchors)
 
 
-def linked(group: np.ndarray, fp: np.ndarray, name: np.ndarray) -> list[tuple]:
-    """A spanning forest of the links within equal values of the sorted ``group``."""
-    pairs = []
+def linked(group: np.ndarray, fp: np.ndarray) -> list[tuple]:
+    """A spanning forest, over signed fingerprints, of the links within equal values of the sorted ``group``."""
+    pairs, name = [], fp.view(np.int64)
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     left = np.repeat(np.concatenate([begin[1:], [len(group)]]), np.diff(np.concatenate([begin, [len(group)]]))) - np.arange(len(group)) - 1
     rows, d = np.arange(len(group)), 0
@@ -104,28 +104,27 @@ def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """(a, b): a forest of links between ``classes`` (fp, name) that holds every connection."""
+    """(a, b): a forest of links between the distinct fingerprints of ``classes`` (fp) that holds every connection."""
 
     def replicate(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
-                fp, name = part.column(0).to_numpy(), part.column(1).to_numpy()
+                fp = batch.column(0).slice(at, 20_000).to_numpy()
                 row, anchor = replicas(fp.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row]), pa.array(name[row])], names=["anchor", "fp", "name"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row])], names=["anchor", "fp"])
 
     def compare(batches):
         kept: list[np.ndarray] = []
 
         def flush(rows):
             if len(rows):
-                found = linked(np.cumsum(np.concatenate([[0], (rows[1:, :2] != rows[:-1, :2]).any(1)])), rows[:, 2].copy().view(np.uint64), rows[:, 3])
+                found = linked(np.cumsum(np.concatenate([[0], (rows[1:, :2] != rows[:-1, :2]).any(1)])), rows[:, 2].copy().view(np.uint64))
                 if found:
                     a, b = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            kept.append(np.stack([batch.column(i).to_numpy() for i in range(4)], 1))
+            kept.append(np.stack([batch.column(i).to_numpy() for i in range(3)], 1))
             if sum(map(len, kept)) >= BUFFER:
                 rows = np.concatenate(kept)
                 whole = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1))
@@ -135,34 +134,56 @@ def links(classes: DataFrame) -> DataFrame:
         if kept:
             yield from flush(np.concatenate(kept))
 
-    members = classes.select("fp", "name").mapInArrow(replicate, "anchor long, fp long, name long")
+    members = classes.select("fp").mapInArrow(replicate, "anchor long, fp long")
     hot = members.groupBy("anchor").count().where(F.col("count") > TILE).select("anchor", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     dealt = members.join(hot, "anchor", "left").withColumn("tile", F.coalesce(tile, F.lit(0)))
     # every pair of tiles, the own one with each; a tile alone is the pair of itself
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1))
-    dealt = dealt.select("anchor", "tile", "fp", "name", "tiles", other.alias("other"))
+    dealt = dealt.select("anchor", "tile", "fp", "tiles", other.alias("other"))
     pair = F.least("tile", "other") * F.lit(1 << 24).cast("long") + F.greatest("tile", "other")
-    dealt = dealt.select("anchor", pair.alias("pair"), "fp", "name").repartition("anchor", "pair").sortWithinPartitions("anchor", "pair")
+    dealt = dealt.select("anchor", pair.alias("pair"), "fp").repartition("anchor", "pair").sortWithinPartitions("anchor", "pair")
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def named_classes(marked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(f, name, component, component_id) of each fingerprint: smallest key of its own and of all its component's."""
+    classes = cut(marked.groupBy("fp").agg(F.min(key).alias("name")))
+    found = classes.join(components(links(classes)), F.col("fp") == F.col("node"), "left")
+    found = cut(found.select(F.col("fp").alias("f"), "name", F.coalesce("component", "fp").alias("component")))
+    names = found.groupBy(F.col("component").alias("c")).agg(F.min("name").alias("component_id"))
+    return found.join(names, F.col("component") == F.col("c")).drop("c")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, fingerprint and component_id."""
     marked = fingerprints(docs, words, key, text)
-    classes = cut(marked.groupBy("fp").agg(F.min(key).alias("name")))
-    found = components(links(classes.where("name is not null"))).withColumnRenamed("node", "name")
-    named = classes.join(found, "name", "left").select(F.col("fp").alias("f"), F.coalesce("component", "name").alias("component_id"))
-    return marked.join(named, F.col("fp") == F.col("f")).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(named_classes(marked, key), F.col("fp") == F.col("f")).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key names their component; of rows that repeat such a key one stays."""
-    decided = cut(near_duplicates(docs, words, key, text).groupBy(key).agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where(F.col(key).eqNullSafe(F.col("c"))).select(F.col(key).alias("kept_key"), "n"))
-    same = F.col(key).eqNullSafe(F.col("kept_key"))
-    once = docs.join(decided.where("n = 1"), same, "left_semi")
-    again = docs.join(decided.where("n > 1"), same, "left_semi").dropDuplicates([key])
-    return once.unionByName(again)
+    """One row of ``docs`` of each component: its smallest key's, of rows that repeat it the smallest fingerprint's.
+
+    A component whose keys are all null keeps one of its rows.
+    """
+    marked = fingerprints(docs, words, key, text)
+    # of each component the class that holds its name; ties by fingerprint
+    first = named_classes(marked, key).where(F.col("name").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("f", "name")).alias("x"))
+    k, f, own = (unused(docs, n) for n in ("chosen_key", "chosen_fp", "own_fp"))
+    chosen = cut(first.select(F.col("x.f").alias(f), F.col("x.name").alias(k)))
+    # a key of one row needs no look at the text; rows of the few others are told apart by their fingerprints
+    often = marked.groupBy(F.col(key).alias("often")).count().where("count > 1").select("often")
+    split = cut(chosen.join(often, F.col(k).eqNullSafe(F.col("often")), "left").select(f, k, (F.col("often").isNotNull() | F.col(k).isNull()).alias("is_often")))
+    same = F.col(key).cast("long").eqNullSafe(F.col(k))
+    once = docs.join(split.where("not is_often").select(k), same, "left_semi")
+
+    @F.arrow_udf("long")
+    def print_of(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t, words) for t in texts.to_pylist()], "<u8").view("<i8"))
+
+    again = docs.join(split.where("is_often").select(k), same, "left_semi").withColumn(own, print_of(F.col(text)))
+    again = again.join(split.where("is_often").select(k, f), same & (F.col(own) == F.col(f)), "left_semi")
+    return once.unionByName(again.dropDuplicates([key, own]).drop(own))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,22 +199,36 @@ def hash_of(text: str | None) -> int:
     return zlib.crc32((text or "").encode())
 
 
+def scores(texts: list[str | None], model: dict | None) -> np.ndarray:
+    if model is None:
+        return np.full(len(texts), 0.5)
+    raw = raw_quality(model, *features(texts))
+    return 1 / (1 + np.exp(-(model["a"] * np.log((raw + 1e-4) / (1 - raw + 1e-4)) + model["b"]).clip(-30, 30)))
+
+
 def score(docs: DataFrame, model: dict | None, threshold: float, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score and predicted for every row of ``docs``."""
 
     def run(batches):
         for batch in batches:
             for rows in text_batches(arrow_rows(batch, "k", "t")):
-                if model is None:
-                    s = np.full(len(rows), 0.5)
-                else:
-                    raw = raw_quality(model, *features([t for _, t in rows]))
-                    s = 1 / (1 + np.exp(-(model["a"] * np.log((raw + 1e-4) / (1 - raw + 1e-4)) + model["b"]).clip(-30, 30)))
+                s = scores([t for _, t in rows], model)
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[key, "score", "predicted"])
 
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, f"{key} long, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: dict | None, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own text scores ``threshold`` or more; no key is read and nothing shuffled."""
+
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        parts = [scores([t for t, in rows], model) >= threshold for rows in text_batches(((t.as_py(),) for t in texts), lambda row: row[0])]
+        return pa.array(np.concatenate(parts) if parts else [], pa.bool_())
+
+    return docs.where(good(F.col(text)))
+
+
 def bucket(key: str, of: int):
     """crc32 of the key as text, modulo ``of``."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(of))
