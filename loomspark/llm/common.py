@@ -88,16 +88,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) ->
     """(node, component) for every node of ``edges``; a component's id is its smallest node.
 
     Alternating large-star and small-star rounds on distributed edges: each round is two grouped minima and two joins
-    on the node (which adaptive execution splits where a hub is hot), a distinct, and a reliable checkpoint. The number
+    on the node, a distinct, and a reliable checkpoint. The minima are dealt anew for their join (twice inverted, a node
+    is no longer known to be dealt already), so that both sides are plain exchanges and adaptive execution can split a
+    hub's links. The number
     of rounds is about the logarithm of the longest chain; only one row of convergence sums reaches the driver.
     """
     e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
+    anew = F.bitwise_not(F.bitwise_not(F.col("u"))).alias("k")
     for _ in range(limit):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(anew, F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(anew, "m")
         joined = large.join(low, F.col("u") == F.col("k"))
         small = joined.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         e = cut(small)
