@@ -37,5 +37,13 @@ def truncated(x: Column, longest: int = 30, end: str = "...") -> Column:
     return F.when(F.length(x) <= longest, x).otherwise(F.concat(F.substring(x, 1, max(0, longest - len(end))), F.lit(end)))
 
 
+def citation(names: Column) -> Column:
+    """An array of names as one line: A; A & B; A, B & C; empty without names. Null names are left out."""
+    known = F.array_compact(names)
+    n = F.size(known)
+    head = F.array_join(F.slice(known, F.lit(1), F.greatest(n - 1, F.lit(0))), ", ")
+    return F.when(n > 1, F.concat(head, F.lit(" & "), F.element_at(known, -1))).when(n == 1, F.element_at(known, 1)).otherwise("")
+
+
 def unique_slug(base: str, n: int) -> str:
     return base if n <= 1 else f"{base}-{n}"

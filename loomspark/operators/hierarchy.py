@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expressions import eq, quoted
+from ..functions.text import citation
 from ..schema import TableDef
 
 if TYPE_CHECKING:
@@ -102,3 +104,42 @@ def serialized(base: TableDef, nodes: list[TypeNode] | tuple[TypeNode, ...]) ->
         return [F.lit(name).alias("_type"), data.alias("_data"), *([delegate(nodes).alias("_delegate")] if nodes else [])]
 
     return F.to_json(F.struct(*level(base.name, F.struct(*(F.col(quoted(c)) for c in base.columns)), nodes)))
+
+
+def parsed(text: Column, base: TableDef, nodes: list[TypeNode] | tuple[TypeNode, ...]) -> Column:
+    """The struct of a row of ``with_delegates`` (base columns and ``_<type>`` of each type) from JSON of ``serialized``.
+
+    Types that no node names, and levels that the text lacks, are null; text that is no JSON gives null.
+    """
+
+    def level(json: Column, table: TableDef) -> Column:
+        return F.from_json(F.get_json_object(json, "$._data"), T.StructType([T.StructField(f.name, f.dataType) for f in table.spark_schema]), {"mode": "PERMISSIVE"})
+
+    def delegates(json: Column, nodes) -> list[Column]:
+        own = F.get_json_object(json, "$._delegate")
+        found = []
+        for n in nodes:
+            here = F.when(F.get_json_object(own, "$._type") == n.name, own)
+            found += [level(here, n.table).alias(f"_{n.name}"), *delegates(here, n.children)]
+        return found
+
+    root = level(text, base)
+    return F.when(root.isNotNull(), F.struct(*(root[c].alias(c) for c in base.columns), *delegates(text, nodes)))
+
+
+def by_role(contributions: DataFrame, role: str, work: str = "work_id", position: str = "position") -> DataFrame:
+    """Contributions of one role, numbered within their work in the order of ``position``."""
+    w = Window.partitionBy(work).orderBy(F.col(quoted(position)).asc_nulls_first())
+    return contributions.filter(F.col("role") == role).withColumn("place", F.row_number().over(w))
+
+
+def citation_authors(contributions: DataFrame, agents: DataFrame, work: str = "work_id", agent: str = "agent_id", key: str = "id", name: str = "name", position: str = "position") -> DataFrame:
+    """(work, citation): names of a work's agents in the order of ``position``, as *A, B & C*.
+
+    One aggregation by work after the join; a work without agents has no row. An agent that contributes twice is named
+    twice.
+    """
+    named = contributions.alias("c").join(agents.alias("a"), F.col(f"c.{quoted(agent)}") == F.col(f"a.{quoted(key)}"))
+    one = F.struct(F.col(f"c.{quoted(position)}").alias("p"), F.col(f"c.{quoted(agent)}").alias("k"), F.col(f"a.{quoted(name)}").alias("n"))
+    grouped = named.select(F.col(f"c.{quoted(work)}").alias(work), one.alias("x")).groupBy(work).agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    return grouped.select(work, citation(F.col("xs.n")).alias("citation"))

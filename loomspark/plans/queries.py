@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.expressions import (and_, asc, between, desc, eq, gt, gte, ilike, in_, is_not_null, is_null, like, lt, lte, ne, not_, not_between, not_ilike, not_in, not_like, or_, raw, sql_avg, sql_count, sql_count_distinct, sql_max, sql_min, sql_sum)
 from ..operators.relations import Many, One, PolyMany, PolyOne
-from ..schema import bigint, boolean, double_precision, integer, table, text, timestamp, varchar
+from ..schema import TableDef, bigint, boolean, double_precision, integer, table, text, timestamp, varchar
 from ..sources.database import Database
 
 region = table("region", {"r_regionkey": integer().primary_key(), "r_name": text()})
@@ -298,3 +298,112 @@ def hierarchy_from_chain(db):
     nodes = [TypeNode("customer", cs, "thing_id"), TypeNode("supplier", ss, "thing_id")]
     got = with_delegates(db, things, nodes)
     return got.withColumn("name", coalesced(nodes, "name")).filter(coalesced(nodes, "balance") > 9000).select("type", F.col("key").alias("id"), "name")
+
+
+@query("SELECT o_orderkey, 'o_totalprice' AS changed FROM orders WHERE o_orderstatus = 'F' AND o_totalprice <> 0")
+def records_changed(db):
+    from ..operators.records import changed_rows
+
+    before = db.scan(orders)
+    after = before.withColumn("o_totalprice", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice")))
+    return changed_rows(before, after, "o_orderkey").select("o_orderkey", F.array_join("changed", ",").alias("changed"))
+
+
+def _marked(db: Database) -> DataFrame:
+    return db.scan(customer).withColumn("deleted_at", F.when(F.col("c_acctbal") < 0, F.lit("2020-01-01 00:00:00")))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT c_acctbal < 0")
+def records_active(db):
+    from ..operators.records import active
+
+    return active(_marked(db)).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+def records_soft_deleted(db):
+    from ..operators.records import soft_deleted
+
+    return soft_deleted(_marked(db)).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 3 OR c_mktsegment = 'BUILDING'")
+def row_security(db):
+    db.create_policy(customer, "nation", eq(C["c_nationkey"], 3))
+    db.create_policy(customer, "segment", eq(C["c_mktsegment"], "BUILDING"))
+    db.enable_row_security(customer)
+    return db.select(C["c_custkey"]).from_(customer).execute()
+
+
+@query("SELECT p_partkey, array_to_string([upper(w[1]) FOR w IN string_split(p_name, ' ')[1:2]], '') AS initials, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 -]', '', 'g'), '[ -]+', '-', 'g'), '-') AS slug FROM part")
+def display_names(db):
+    return db.scan(part).select("p_partkey", tx.initials(F.col("p_name")).alias("initials"), tx.display_slug(F.col("p_name")).alias("slug"))
+
+
+@query("SELECT n_nationkey, CASE WHEN len(x) = 1 THEN x[1] ELSE array_to_string(x[1:len(x) - 1], ', ') || ' & ' || x[len(x)] END AS citation FROM (SELECT s_nationkey AS n_nationkey, list(s_name ORDER BY s_suppkey) AS x FROM supplier GROUP BY s_nationkey)")
+def citations(db):
+    from ..operators.hierarchy import citation_authors
+
+    s = db.scan(supplier)
+    links = s.select(F.col("s_nationkey").alias("work_id"), F.col("s_suppkey").alias("agent_id"), F.col("s_suppkey").alias("position"))
+    return citation_authors(links, s, key="s_suppkey", name="s_name").withColumnRenamed("work_id", "n_nationkey")
+
+
+@query("SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA'")
+def hierarchy_json(db):
+    from ..operators.hierarchy import TypeNode, parsed, serialized, with_delegates
+
+    below = table("place", {"n_key": integer(), "r_name": text()})
+    joined = db.scan(nation).join(db.scan(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    db.register(below, joined.filter("r_name <> 'ASIA'").select(F.col("n_nationkey").alias("n_key"), "r_name"))
+    nodes = [TypeNode("place", below, "n_key")]
+    written = with_delegates(db, nation, nodes, key="n_nationkey").select(serialized(nation, nodes).alias("j"))
+    return written.select(parsed(F.col("j"), nation, nodes).alias("x")).select("x.n_nationkey", "x.n_name", "x._place.r_name")
+
+
+def _stored(db: Database) -> tuple[Database, TableDef]:
+    """A fresh store that holds the customers of the first ten nations."""
+    own = Database.connect(db.spark, "memory:///")
+    own.create_tables(customer)
+    own.insert(customer).values(db.scan(customer).filter("c_nationkey < 10")).execute()
+    return own, customer
+
+
+_FIRST = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_nationkey < 10"
+
+
+@query(_FIRST)
+def dml_insert(db):
+    own, t = _stored(db)
+    return own.select().from_(t).execute()
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey < 12")
+def dml_upsert_nothing(db):
+    own, t = _stored(db)
+    more = db.scan(customer).filter("c_nationkey BETWEEN 5 AND 11").withColumn("c_name", F.when(F.col("c_nationkey") < 10, "other").otherwise(F.col("c_name")))
+    own.insert(t).values(more).on_conflict_do_nothing("c_custkey").execute()
+    return own.select(t["c_custkey"], t["c_name"]).from_(t).execute()
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey BETWEEN 5 AND 9 THEN 'twice ' || c_name ELSE c_name END AS c_name FROM customer WHERE c_nationkey < 12")
+def dml_upsert_update(db):
+    own, t = _stored(db)
+    more = db.scan(customer).filter("c_nationkey BETWEEN 5 AND 11")
+    more = more.withColumn("c_name", F.when(F.col("c_nationkey") < 10, F.concat(F.lit("twice "), F.col("c_name"))).otherwise(F.col("c_name")))
+    own.insert(t).values(more).on_conflict_do_update(["c_custkey"], {"c_name": raw("excluded.c_name")}).execute()
+    return own.select(t["c_custkey"], t["c_name"]).from_(t).execute()
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_nationkey + 100 ELSE c_nationkey END AS c_nationkey FROM ({_FIRST})")
+def dml_update(db):
+    own, t = _stored(db)
+    own.update(t).set({"c_nationkey": raw("c_nationkey + 100")}).where(eq(t["c_mktsegment"], "BUILDING")).execute()
+    return own.select(t["c_custkey"], t["c_nationkey"]).from_(t).execute()
+
+
+@query(f"SELECT c_custkey FROM ({_FIRST}) WHERE NOT c_acctbal < 0")
+def dml_delete(db):
+    own, t = _stored(db)
+    own.delete(t).where(lt(t["c_acctbal"], 0)).execute()
+    return own.select(t["c_custkey"]).from_(t).execute()

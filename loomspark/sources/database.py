@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from typing import Any
 from urllib.parse import parse_qs, unquote, urlsplit
 
@@ -49,7 +52,11 @@ class Database:
         if said["scheme"] in ("parquet", "sqlite"):
             return cls(spark, store=Store(spark, said["database"]))
         if said["scheme"] == "memory":
-            return cls(spark, store=Store(spark, tempfile.mkdtemp(prefix="loomspark-")))
+            shared = spark.conf.get("spark.checkpoint.dir", None)  # what all executors see; a local folder only where none is set
+            if not shared:
+                shared = tempfile.mkdtemp(prefix="loomspark-")
+                atexit.register(shutil.rmtree, shared, True)
+            return cls(spark, store=Store(spark, f"{shared}/memory-{uuid.uuid4().hex}"))
         kind, port = DRIVERS.get(said["scheme"], ("postgresql", 5432))
         return cls(spark, jdbc={"url": f"jdbc:{kind}://{said['host']}:{said['port'] or port}/{said['database']}", "user": said["user"], "password": said["password"], **said["options"]})
 
