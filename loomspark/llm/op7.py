@@ -176,6 +176,8 @@ def keep_one(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "
     split = cut(chosen.join(often, F.col(k).eqNullSafe(F.col("often")), "left").select(f, k, (F.col("often").isNotNull() | F.col(k).isNull()).alias("is_often")))
     same = F.col(key).cast("long").eqNullSafe(F.col(k))
     once = docs.join(split.where("not is_often").select(k), same, "left_semi")
+    if split.where("is_often").isEmpty():
+        return once
 
     @F.arrow_udf("long")
     def print_of(texts: pa.Array) -> pa.Array:
