@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import arrow_rows, components, cut, forest, table, unused
 
 BITS = 4
@@ -91,12 +92,17 @@ def linked(group: np.ndarray, fp: np.ndarray) -> list[tuple]:
     return forest(map(tuple, np.unique(np.concatenate(pairs), axis=0).tolist()))
 
 
-def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Checkpointed (key, fp); fp is the fingerprint as a signed long."""
+def set_class(text: str | None, words: int) -> int:
+    """Unsigned name of a text's set of shingles."""
+    return similar.class_of(similar.shingles(text, words))
+
+
+def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text", of=fingerprint) -> DataFrame:
+    """Checkpointed (key, fp); fp is the fingerprint, or what ``of`` gives, as a signed long."""
 
     def run(batches):
         for batch in batches:
-            rows = [(k, fingerprint(t, words)) for k, t in arrow_rows(batch, "k", "t")]
+            rows = [(k, of(t, words)) for k, t in arrow_rows(batch, "k", "t")]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array(np.array([f for _, f in rows], "<u8").view("<i8"))], names=[key, "fp"])
 
@@ -146,10 +152,13 @@ def links(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def named_classes(marked: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(f, name, component, component_id) of each fingerprint: smallest key of its own and of all its component's."""
+def named_classes(marked: DataFrame, key: str = "doc_id", linked: DataFrame | None = None) -> DataFrame:
+    """(f, name, component, component_id) of each fingerprint: smallest key of its own and of all its component's.
+
+    ``linked``: (a, b) in place of the links by differing bits.
+    """
     classes = cut(marked.groupBy("fp").agg(F.min(key).alias("name")))
-    found = classes.join(components(links(classes)), F.col("fp") == F.col("node"), "left")
+    found = classes.join(components(links(classes) if linked is None else linked), F.col("fp") == F.col("node"), "left")
     found = cut(found.select(F.col("fp").alias("f"), "name", F.coalesce("component", "fp").alias("component")))
     names = found.groupBy(F.col("component").alias("c")).agg(F.min("name").alias("component_id"))
     return found.join(names, F.col("component") == F.col("c")).drop("c")
@@ -161,14 +170,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, key: str = "doc_id", text:
     return marked.join(named_classes(marked, key), F.col("fp") == F.col("f")).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text", similarity: tuple[int, int] | None = None) -> DataFrame:
     """One row of ``docs`` of each component: its smallest key's, of rows that repeat it the smallest fingerprint's.
 
-    A component whose keys are all null keeps one of its rows.
+    A component whose keys are all null keeps one of its rows. ``similarity``: two integers whose ratio is the least
+    Jaccard similarity of linked sets of shingles, in place of fingerprints and their differing bits.
     """
-    marked = fingerprints(docs, words, key, text)
+    of = set_class if similarity else fingerprint
+    marked = fingerprints(docs, words, key, text, of)
+    linked = similar.links(docs, words, *similarity, text=text) if similarity else None
     # of each component the class that holds its name; ties by fingerprint
-    first = named_classes(marked, key).where(F.col("name").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("f", "name")).alias("x"))
+    first = named_classes(marked, key, linked).where(F.col("name").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("f", "name")).alias("x"))
     k, f, own = (unused(docs, n) for n in ("chosen_key", "chosen_fp", "own_fp"))
     chosen = cut(first.select(F.col("x.f").alias(f), F.col("x.name").alias(k)))
     # a key of one row needs no look at the text; rows of the few others are told apart by their fingerprints
@@ -181,7 +193,7 @@ def keep_one(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "
 
     @F.arrow_udf("long")
     def print_of(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t, words) for t in texts.to_pylist()], "<u8").view("<i8"))
+        return pa.array(np.array([of(t, words) for t in texts.to_pylist()], "<u8").view("<i8"))
 
     again = docs.join(split.where("is_often").select(k), same, "left_semi").withColumn(own, print_of(F.col(text)))
     again = again.join(split.where("is_often").select(k, f), same & (F.col(own) == F.col(f)), "left_semi")
