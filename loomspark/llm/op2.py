@@ -22,8 +22,6 @@ from .common import cut, table, unused
 
 ALPHA, DELTA = 0.05, 0.05
 STEPS = 50
-#: Strata that may have cutoffs: those with most labelled documents.
-STRATA = 256
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -85,14 +83,16 @@ def steps() -> Column:
     return F.array(*(F.struct(F.lit(r).alias("rule"), F.least(F.coalesce(F.expr(f"case when n_words > 0 then {e} end"), F.lit(0)), F.lit(STEPS)).cast("int").alias("step")) for r, e in RULES.items()))
 
 
-def cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> list[tuple[str, str, int]]:
-    """(stratum, rule, cutoff) from measured good documents; at most ``STRATA`` * rules rows."""
+def admitted_cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, rule, cutoff) from measured good documents, of every stratum with enough of them."""
     rate = alpha / len(RULES)
     totals = good.groupBy("stratum").agg(F.count("*").alias("n"))
     strata = max(1, totals.count())
     level = delta / (strata * len(RULES) * STEPS)
     counts = good.select("stratum", F.explode(steps()).alias("s")).groupBy("stratum", "s.rule", "s.step").count()
-    tried = totals.orderBy(F.desc("n"), "stratum").limit(STRATA).crossJoin(good.sparkSession.range(1, STEPS + 1).select(F.col("id").cast("int").alias("cutoff"))).select("stratum", "n", "cutoff", F.explode(F.array(*map(F.lit, RULES))).alias("rule"))
+    # with fewer documents not even a cutoff without rejections is admitted
+    enough = totals.where(F.col("n") * math.log1p(-rate) <= math.log(level))
+    tried = enough.crossJoin(good.sparkSession.range(1, STEPS + 1).select(F.col("id").cast("int").alias("cutoff"))).select("stratum", "n", "cutoff", F.explode(F.array(*map(F.lit, RULES))).alias("rule"))
     over = counts.withColumnRenamed("count", "c").join(tried, ["stratum", "rule"]).where("step >= cutoff").groupBy("stratum", "rule", "cutoff").agg(F.sum("c").alias("k"))
     k = F.coalesce(F.col("k"), F.lit(0))
     # log of P(Bin(n, rate) <= k), term by term; hopeless counts are not summed
@@ -101,29 +101,34 @@ def cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> list
     first = F.struct((F.col("n") * keep).alias("t"), (F.col("n") * keep).alias("s"))
     tail = F.aggregate(F.filter(F.sequence(F.lit(0).cast("long"), k), lambda i: i > 0), first, step, lambda acc: acc["s"])
     admitted = tried.join(over, ["stratum", "rule", "cutoff"], "left").where(k <= F.col("n") * rate).where(tail <= math.log(level))
-    return [tuple(r) for r in admitted.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff")).orderBy("stratum", "rule").collect()]
+    return admitted.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+
+
+def cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> list[tuple[str, str, int]]:
+    """The rows of ``admitted_cutoffs`` in the driver."""
+    return [tuple(r) for r in admitted_cutoffs(good, alpha, delta).orderBy("stratum", "rule").collect()]
 
 
-def judged(rows: DataFrame, found: list[tuple[str, str, int]]) -> DataFrame:
-    """Measured rows with base_failed and kept."""
+def judged(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Measured rows with base_failed and kept. found: (stratum, rule, cutoff)."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    by: dict[str, dict[str, int]] = {}
-    for stratum, rule, cutoff in found:
-        by.setdefault(stratum, {})[rule] = cutoff
+    own, of = unused(rows, "limits"), unused(rows, "limits_of")
+    limit = lambda r: F.coalesce(F.max(F.when(F.col("rule") == r, F.col("cutoff"))), F.lit(STEPS + 1))
+    limits = found.groupBy(F.col("stratum").alias(of)).agg(F.array(*map(limit, RULES)).alias(own))
+    over = [F.coalesce(F.get(steps(), i)["step"] >= F.get(F.col(own), i), F.lit(False)) for i in range(len(RULES))]
     rejected = F.lit(False)
-    if by:
-        limits = F.element_at(F.create_map(*(x for s, own in by.items() for x in (F.lit(s), F.array(*(F.lit(own.get(r, STEPS + 1)) for r in RULES))))), F.col("stratum"))
-        over = [F.coalesce(s["step"] >= F.element_at(limits, i + 1), F.lit(False)) for i, s in enumerate(F.get(steps(), i) for i in range(len(RULES)))]
-        for x in over:
-            rejected = rejected | x
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~rejected)
+    for x in over:
+        rejected = rejected | x
+    # one row of each stratum with a cutoff, thus at most one for about a thousand labels
+    rows = rows.join(F.broadcast(limits), F.col("stratum") == F.col(of), "left")
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~rejected).drop(own, of)
 
 
 def rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", also: dict[str, Column] | None = None) -> DataFrame:
     """labels: (key, label 1 good or 0). Measured rows of ``docs`` with base_failed and kept; the key is named doc_id."""
     rows = cut(measured(docs, key, text, stratum, also))
     good = labels.where("label = 1").select(F.col(key).alias("good_id")).distinct()
-    return judged(rows, cutoffs(rows.join(good, F.col("doc_id") == F.col("good_id"), "left_semi")))
+    return judged(rows, cut(admitted_cutoffs(rows.join(good, F.col("doc_id") == F.col("good_id"), "left_semi"))))
 
 
 def passing(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
