@@ -129,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
     half = lambda y, n: one.where(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(n)
     # at most two samples of either kind: even places learn words, odd ones the curve
     chosen = half(1, 2 * sample).unionByName(half(0, 2 * sample)).select(F.col(key).alias("label_key"), "y", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(2)).alias("side"))
+    chosen = cut(chosen.withColumn("number", F.monotonically_increasing_id()))
     wanted = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("k") == F.col("label_key"))
 
     def words(batches):
@@ -157,11 +158,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
 
     def measure(batches):
         for batch in batches:
-            rows = [(y, np.array(gains(t, toxic, ordinary)).tobytes()) for y, t in arrow_rows(batch, "y", "t")]
+            rows = [(y, np.array(gains(t, toxic, ordinary)).tobytes(), k, h) for y, t, k, h in arrow_rows(batch, "y", "t", "number", "h")]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows])], names=["y", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=["y", "x", "k", "h"])
 
-    got = wanted.where("side = 1").select("y", "t").mapInArrow(measure, "y int, x binary").orderBy("x", "y").limit(8 * sample).collect()
+    measured = wanted.where("side = 1").select("y", "t", "number", F.xxhash64("t").alias("h")).mapInArrow(measure, "y int, x binary, k long, h long")
+    # of rows that repeat a key the one whose text has the smallest hash
+    one = measured.groupBy("k").agg(F.min(F.struct("h", "x", "y")).alias("r"))
+    got = one.select("r.y", "r.x").orderBy("x", "y").collect()
     if len({r.y for r in got}) < 2:
         return None
     y = np.array([r.y for r in got], np.float64)

@@ -4,7 +4,7 @@ Every line is a step of a chain with two labels, good and bad. A line's features
 lengths, repeats within the line, within the document and of the whole line, and those of the lines before and behind
 it. Lines of a labelled document carry its label for training: maximum likelihood of the chain (forward-backward,
 gradient steps) on at most ``SAMPLE`` labelled documents, of each at most ``LINES`` lines in a row, chosen by a hash of
-the key. That bounds what reaches the driver; scoring uses every line of every text.
+the key; of rows that repeat a key, one. That bounds what reaches the driver; scoring uses every line of every text.
 
 A document's raw quality is the mean of its lines' marginals of good, weighted by length; a logistic curve fitted on the
 same sample turns it into the score. Null and empty texts are one empty line. Equal texts have equal scores. With no
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table, text_batches
+from .common import arrow_rows, cut, table, text_batches
 
 SAMPLE, LINES = 4000, 40
 #: Character classes: 0 letter lower, 1 letter upper, 2 digit, 3 space, 4 sentence marks, 5 symbols, 6 other ASCII, 7 other
@@ -167,21 +167,25 @@ def calibrate(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES, key: str = "doc_id", text: str = "text") -> dict | None:
     """labels: (key, label 0 or 1), the rows to learn from. None where there are none."""
     chosen = labels.where(f"{key} is not null and label is not null").groupBy(key).agg(F.max("label").alias("label")).orderBy(F.xxhash64(key), key).limit(sample)
-    chosen = F.broadcast(chosen.select(F.col(key).alias("label_key"), F.col("label").cast("int").alias("y")))  # at most `sample` rows
+    # at most `sample` rows; numbered, as keys may be of any type
+    chosen = cut(chosen.select(F.col(key).alias("label_key"), F.col("label").cast("int").alias("y"), F.monotonically_increasing_id().alias("number")))
+    types = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
 
     def run(batches):
         for batch in batches:
-            for rows in text_batches(arrow_rows(batch, "y", "t")):
-                x, size, count = features([t for _, t in rows])
+            for rows in text_batches(arrow_rows(batch, "y", "t", "at")):
+                x, size, count = features([r[1] for r in rows])
                 ends, out = np.cumsum(count), []
-                for (y, t), end, n in zip(rows, ends, count):
+                for (y, t, place), end, n in zip(rows, ends, count):
                     skip = (hash_of(t) % (n - lines + 1)) if n > lines else 0
                     part = slice(end - n + skip, end - n + skip + min(n, lines))
-                    out.append((y, x[part].tobytes(), size[part].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out]), pa.array([o[2] for o in out])], names=["y", "x", "size"])
+                    out.append((y, x[part].tobytes(), size[part].tobytes(), *place.values()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["y", "x", "size", "k", "h"])
 
-    wanted = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, F.col("k") == F.col("label_key")).select("y", "t")
-    got = wanted.mapInArrow(run, "y int, x binary, size binary").orderBy("x", "size", "y").limit(2 * sample).collect()
+    wanted = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("k") == F.col("label_key")).select("y", "t", F.struct("number", F.xxhash64("t").alias("h")).alias("at"))
+    # of rows that repeat a key the one whose text has the smallest hash
+    one = wanted.mapInArrow(run, "y int, x binary, size binary, k long, h long").groupBy("k").agg(F.min(F.struct("h", "x", "size", "y")).alias("r"))
+    got = one.select("r.y", "r.x", "r.size").orderBy("x", "size", "y").collect()
     if not got:
         return None
     x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in got])
