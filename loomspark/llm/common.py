@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker handles at once; a longer single document forms a batch of its own.
@@ -20,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
+    """The folder that all executors see: ``spark.checkpoint.dir``. Unset, a local master has a temporary one; others fail."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found:
         found = context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="loomspark-")
         atexit.register(shutil.rmtree, found, True)
     if not context.getCheckpointDir():
@@ -39,6 +41,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def anew(value: Column) -> Column:
+    """A long, twice inverted: Spark no longer knows that rows are dealt by it and deals them again for a join, whose
+    exchanges adaptive execution can then split where one key is hot."""
+    return F.bitwise_not(F.bitwise_not(value))
+
+
+#: Positions of a bit table: at most 2^19 rows of 64 bits, thus 8 MB whatever the number of keys.
+POSITIONS = 1 << 25
+
+
+def bit_table(keys: DataFrame, key: str) -> DataFrame:
+    """Checkpointed (word, bits): a table in which the position of every key of ``keys`` is set."""
+    place = F.xxhash64(key).bitwiseAND(F.lit(POSITIONS - 1)).alias("place")
+    return cut(keys.select(place).groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits")))
+
+
+def with_hits(df: DataFrame, key: Column, table_: DataFrame, name: str) -> DataFrame:
+    """``df`` and a column ``name``: whether the position of ``key`` is set, which holds of every key of the table and of
+    few others while it isn't full. The table is broadcast; its size is bounded. Null keys count as set."""
+    place, w, b = F.xxhash64(key).bitwiseAND(F.lit(POSITIONS - 1)), unused(df, "bit_word"), unused(df, "bit_bits")
+    words = F.broadcast(table_.select(F.col("word").alias(w), F.col("bits").alias(b)))
+    hit = key.isNull() | F.coalesce(F.getbit(F.col(b), place.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    return df.join(words, F.shiftright(place, 6) == F.col(w), "left").withColumn(name, hit).drop(w, b)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it until no column of ``df`` is called so in any case."""
     taken = {c.lower() for c in df.columns}
@@ -88,19 +121,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) ->
     """(node, component) for every node of ``edges``; a component's id is its smallest node.
 
     Alternating large-star and small-star rounds on distributed edges: each round is two grouped minima and two joins
-    on the node, a distinct, and a reliable checkpoint. The minima are dealt anew for their join (twice inverted, a node
-    is no longer known to be dealt already), so that both sides are plain exchanges and adaptive execution can split a
-    hub's links. The number
-    of rounds is about the logarithm of the longest chain; only one row of convergence sums reaches the driver.
+    on the node, a distinct, and a reliable checkpoint. The minima are dealt anew for their join, so that adaptive
+    execution can split a hub's links. The number of rounds is about the logarithm of the longest chain; only one row of convergence sums reaches the driver.
     """
     e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    anew = F.bitwise_not(F.bitwise_not(F.col("u"))).alias("k")
+    before, k = None, anew(F.col("u")).alias("k")
     for _ in range(limit):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(anew, F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(k, F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(anew, "m")
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(k, "m")
         joined = large.join(low, F.col("u") == F.col("k"))
         small = joined.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         e = cut(small)

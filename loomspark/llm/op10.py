@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, shared_dir, table
+from .common import arrow_rows, cut, remove, shared_dir, table
 from .memo import remembered
 
 MAGIC = b"LMX1"
@@ -290,13 +290,6 @@ def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataF
     return rows.join(base, ["part", "number"]).select(key, (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder in whatever store it lies."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(conf).delete(place, True)
-
-
 def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

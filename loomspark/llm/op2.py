@@ -132,11 +132,9 @@ def rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def passing(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep. Rows that repeat a key, or have none, are told apart by what is judged."""
-    judged_by = F.xxhash64(F.col(text), F.coalesce(F.col(stratum), F.lit("")))
-    k, h = unused(docs, "kept_key"), unused(docs, "kept_hash")
-    kept = rules(docs, labels, key, text, stratum, {h: judged_by}).where("kept").select(F.col("doc_id").alias(k), h).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col(k)) & (judged_by == F.col(h)), "left_semi")
+    """The rows of ``docs`` that the rules keep. Every row is measured once and judged in place; whole rows are never shuffled."""
+    kept = rules(docs, labels, key, text, stratum, {"own_row": F.struct("*")})
+    return kept.where("kept").select("own_row.*")
 
 
 RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -10,6 +10,9 @@ their values (radius 0); an anchor is one codeword of that product code. A finge
 is replicated to every anchor that lies within covering radius plus threshold and can be the home of a fingerprint one
 bit away (at most 22, 14 or 15 as a rule), so each linked pair meets at the home of either. At an anchor all members are
 compared. An anchor with over ``TILE`` members is dealt to pairs of tiles, so no task holds more than two tiles of it.
+Anchors of a fixed code gather more members as the corpus grows; so beyond ``MANY`` distinct fingerprints two blocks of
+32 bits are covered instead, each by two Hamming codes and two free bits: 64 times the anchors, some block differs in at
+most two bits, and a fingerprint has a few hundred replicas.
 
 Links become one spanning forest per task and buffer before they are shuffled; components are found by distributed
 rounds. Null and empty texts have fingerprint zero, which links like any other. Rows that repeat a key have the class
@@ -19,17 +22,22 @@ table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import arrow_rows, components, cut, forest, table, unused
+from .common import anew, arrow_rows, bit_table, components, cut, forest, table, unused, with_hits
 
 BITS = 4
 #: First bit and size of each block.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
+THREE = ((0, 22), (22, 21), (43, 21))
+TWO = ((0, 32), (32, 32))
+#: Distinct fingerprints above which two blocks with more anchors and replicas take less work than three.
+MANY = 1 << 27
 TILE = 2048
 BUFFER = 200_000
 
@@ -54,20 +62,23 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(np.packbits(2 * totals > n, bitorder="little").view("<u8")[0])
 
 
-def homes(value: np.ndarray) -> np.ndarray:
-    """Nearest anchors of block values."""
-    low, syndrome = value & 0x7FFF, np.zeros_like(value)
-    for i in range(15):
-        syndrome ^= (low >> i & 1) * (i + 1)
-    return np.where(syndrome > 0, value ^ (1 << np.maximum(syndrome - 1, 0)), value)
+def homes(value: np.ndarray, size: int) -> np.ndarray:
+    """Nearest anchors of block values of ``size`` bits: each whole piece of 15 bits goes to its nearest Hamming codeword."""
+    for first in range(0, size - 14, 15):
+        syndrome = np.zeros_like(value)
+        for i in range(15):
+            syndrome ^= (value >> first + i & 1) * (i + 1)
+        value = np.where(syndrome > 0, value ^ (1 << np.maximum(syndrome - 1, 0) + first), value)
+    return value
 
 
-def replicas(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def replicas(fp: np.ndarray, blocks: tuple = THREE) -> tuple[np.ndarray, np.ndarray]:
     """(row, anchor) of all replicas of unsigned fingerprints; an anchor's number holds its block."""
     rows, anchors = [], []
-    for b, (first, size) in enumerate(BLOCKS):
+    for b, (first, size) in enumerate(blocks):
         value = (fp >> np.uint64(first) & np.uint64((1 << size) - 1)).astype(np.int64)
-        near = np.stack([homes(value), *(homes(value ^ (1 << i)) for i in range(size))], 1)
+        flips = [sum(1 << i for i in bits) for n in range(BITS // len(blocks) + 1) for bits in combinations(range(size), n)]
+        near = np.stack([homes(value ^ x, size) for x in flips], 1)
         near.sort(1)
         new = np.concatenate([np.ones((len(fp), 1), bool), near[:, 1:] != near[:, :-1]], 1)
         row, _ = np.nonzero(new)
@@ -109,14 +120,18 @@ def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "
     return cut(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, f"{key} long, fp long"))
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """(a, b): a forest of links between the distinct fingerprints of ``classes`` (fp) that holds every connection."""
+def links(classes: DataFrame, blocks: tuple | None = None) -> DataFrame:
+    """(a, b): a forest of links between the distinct fingerprints of ``classes`` (fp) that holds every connection.
+
+    ``blocks``: how the bits are cut; by the number of classes where not given. The result is the same.
+    """
+    blocks = blocks or (THREE if classes.count() <= MANY else TWO)
 
     def replicate(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                fp = batch.column(0).slice(at, 20_000).to_numpy()
-                row, anchor = replicas(fp.view(np.uint64))
+            for at in range(0, batch.num_rows, 8000):
+                fp = batch.column(0).slice(at, 8000).to_numpy()
+                row, anchor = replicas(fp.view(np.uint64), blocks)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row])], names=["anchor", "fp"])
 
     def compare(batches):
@@ -152,22 +167,22 @@ def links(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def named_classes(marked: DataFrame, key: str = "doc_id", linked: DataFrame | None = None) -> DataFrame:
-    """(f, name, component, component_id) of each fingerprint: smallest key of its own and of all its component's.
-
-    ``linked``: (a, b) in place of the links by differing bits.
-    """
-    classes = cut(marked.groupBy("fp").agg(F.min(key).alias("name")))
+def classes_of(marked: DataFrame, key: str = "doc_id", linked: DataFrame | None = None) -> DataFrame:
+    """Checkpointed (f, name, n, component, alone) of each fingerprint: its smallest key, its rows, its component's
+    smallest fingerprint and whether nothing links with it. ``linked``: (a, b) in place of the links by differing bits."""
+    classes = cut(marked.groupBy("fp").agg(F.min(key).alias("name"), F.count("*").alias("n")))
     found = classes.join(components(links(classes) if linked is None else linked), F.col("fp") == F.col("node"), "left")
-    found = cut(found.select(F.col("fp").alias("f"), "name", F.coalesce("component", "fp").alias("component")))
-    names = found.groupBy(F.col("component").alias("c")).agg(F.min("name").alias("component_id"))
-    return found.join(names, F.col("component") == F.col("c")).drop("c")
+    return cut(found.select(F.col("fp").alias("f"), "name", "n", F.coalesce("component", "fp").alias("component"), F.col("node").isNull().alias("alone")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, fingerprint and component_id."""
     marked = fingerprints(docs, words, key, text)
-    return marked.join(named_classes(marked, key), F.col("fp") == F.col("f")).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = classes_of(marked, key)
+    # the names are dealt anew, so that a large component's classes can be split
+    names = found.groupBy("component").agg(F.min("name").alias("component_id")).select(anew(F.col("component")).alias("c"), "component_id")
+    named = found.join(names, F.col("component") == F.col("c")).select("f", "component_id")
+    return marked.join(named, F.col("fp") == F.col("f")).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text", similarity: tuple[int, int] | None = None) -> DataFrame:
@@ -175,19 +190,26 @@ def keep_one(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "
 
     A component whose keys are all null keeps one of its rows. ``similarity``: two integers whose ratio is the least
     Jaccard similarity of linked sets of shingles, in place of fingerprints and their differing bits.
+
+    Whole rows are shuffled only where they may go: keys of rows that share their component with others set bits of a
+    table of bounded size, and rows without a set bit stay as they are. With more such keys than the table holds more
+    rows take the exact way, which is right for all.
     """
     of = set_class if similarity else fingerprint
     marked = fingerprints(docs, words, key, text, of)
-    linked = similar.links(docs, words, *similarity, text=text) if similarity else None
-    # of each component the class that holds its name; ties by fingerprint
-    first = named_classes(marked, key, linked).where(F.col("name").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("f", "name")).alias("x"))
-    k, f, own = (unused(docs, n) for n in ("chosen_key", "chosen_fp", "own_fp"))
+    found = classes_of(marked, key, similar.links(docs, words, *similarity, text=text) if similarity else None)
+    # of each component the class with its smallest key; ties by fingerprint
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("name").isNull(), "name", "f")).alias("x"))
+    k, f, own, hit = (unused(docs, n) for n in ("chosen_key", "chosen_fp", "own_fp", "may_go"))
     chosen = cut(first.select(F.col("x.f").alias(f), F.col("x.name").alias(k)))
+    shared = marked.join(found.where("not alone or n > 1").select("f"), F.col("fp") == F.col("f"), "left_semi").where(F.col(key).isNotNull())
+    split_docs = with_hits(docs, F.col(key).cast("long"), bit_table(shared.select(key), key), hit)
+    clear, maybe = split_docs.where(~F.col(hit)).drop(hit), split_docs.where(F.col(hit)).drop(hit)
     # a key of one row needs no look at the text; rows of the few others are told apart by their fingerprints
     often = marked.groupBy(F.col(key).alias("often")).count().where("count > 1").select("often")
     split = cut(chosen.join(often, F.col(k).eqNullSafe(F.col("often")), "left").select(f, k, (F.col("often").isNotNull() | F.col(k).isNull()).alias("is_often")))
     same = F.col(key).cast("long").eqNullSafe(F.col(k))
-    once = docs.join(split.where("not is_often").select(k), same, "left_semi")
+    once = clear.unionByName(maybe.join(split.where("not is_often").select(k), same, "left_semi"))
     if split.where("is_often").isEmpty():
         return once
 
@@ -195,7 +217,7 @@ def keep_one(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "
     def print_of(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([of(t, words) for t in texts.to_pylist()], "<u8").view("<i8"))
 
-    again = docs.join(split.where("is_often").select(k), same, "left_semi").withColumn(own, print_of(F.col(text)))
+    again = maybe.join(split.where("is_often").select(k), same, "left_semi").withColumn(own, print_of(F.col(text)))
     again = again.join(split.where("is_often").select(k, f), same & (F.col(own) == F.col(f)), "left_semi")
     return once.unionByName(again.dropDuplicates([key, own]).drop(own))
 
