@@ -1,32 +1,45 @@
 """Embedding near-dedup: all pairs by a cover tree and a dual traversal of it.
 
-1. Vectors are normalised in double precision; equal ones become one class with a count, so copies cost nothing.
-2. A nested tree of centres is built over a sample of at most ``SAMPLE`` classes: farthest-first order, of which the
-   centres further apart than 2, 1, 1/2, ... form the levels (each holds the one above it), down to ``LEAVES`` centres.
-   The sample only shapes the tree. Every class joins its nearest leaf, and the covering radius of each node is the
-   largest distance of all its classes, so that the bounds hold for all rows.
-3. The dual traversal starts at the root pair and drops a pair of nodes whose centres are further apart than both radii
-   and the threshold distance together; what is left is at most ``LEAVES`` squared pairs of leaves.
-4. Leaves are dealt to blocks of about ``BLOCK`` classes, large leaves to several by a hash. A class is sent to a pair
-   of blocks only if its own distance to a leaf there passes the bound. Each pair of blocks is one group: it compares
-   the leaf pairs that are left, counts links exactly and returns one spanning forest in place of the links.
-
-Links are pairs with cosine of at least the threshold; link counts include copies. Vectors that are null, zero or hold
-null or non-finite components link with nothing and are their own component. Rows that repeat an id are rows of their
-own. An empty table gives no rows. Labels and other columns are never read.
+1. Vectors are normalised in double precision; equal ones become one class with a number and a count, so copies cost
+   nothing.
+2. The tree's top is shaped by a sample of at most ``SAMPLE`` classes: farthest-first centres, of which those further
+   apart than 2 and 1 form levels, cut off at ``LEAVES`` centres. Every class joins its nearest leaf, and covering radii
+   are the largest distances of all classes, so that bounds hold for all rows. Leaves are dealt to blocks of about
+   ``BLOCK`` classes, large leaves to several by a hash.
+3. Below, every block is built into levels of halving radii (``RADII``) by one task: a node's centre is one of its
+   classes, and it splits where its own covering radius is larger than the level's. Each class keeps its path, the
+   nodes that hold it; all levels below follow the data to the end, and none is cut off.
+4. The dual traversal drops pairs of nodes whose centres are further apart than both covering radii and the threshold
+   distance together. It drops pairs of leaves in the driver; then only the blocks' top nodes, with their radii, are sent
+   to pairs of blocks; then classes go to the pairs where their node is left, and each pair of blocks descends from
+   there to single classes, whose cosine decides. A pair of blocks gives counts and one spanning forest, not its links.
+
+Links are pairs with cosine of at least the threshold (in cases within 1e-12 of it by an exactly rounded sum); link
+counts include copies. Vectors of different lengths never link. Vectors that are null, zero or hold null or non-finite
+components link with nothing and are their own component. Rows that repeat an id are rows of their own, each with the
+links of its own vector; null ids link like others and name a component only where it has no other id, by null. An
+empty table gives no rows. Labels and other columns are never read.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, forest, table
+from .common import anew, components, cut, table
 
-SAMPLE, LEAVES, BLOCK, ROWS = 2048, 256, 8192, 256
-SLACK = 1e-9
+SAMPLE, LEAVES, BLOCK = 2048, 256, 8192
+#: Levels of a block's tree.
+RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
+#: Pairs whose distances are computed at once.
+PAIRS = 1 << 16
+#: Distances come from products of unit vectors, which are exact to 1e-15; near zero their roots are to 1e-7.
+SLACK = 1e-6
 
 
 def unit_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -49,25 +62,26 @@ def unit_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).mapInArrow(run, "id long, v binary")
 
 
+def matrix(vectors: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors with zeros behind shorter ones, and their own lengths."""
+    return np.frombuffer(b"".join(v.ljust(8 * width, b"\0") for v in vectors)).reshape(-1, width), np.array([len(v) // 8 for v in vectors])
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * a @ b.T))
+
+
 def tree_of(sample: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Leaf centres in farthest-first order, and the centres' numbers in each level (each level a prefix)."""
     order, apart = [0], []
     far = np.linalg.norm(sample - sample[0], axis=1)
-    while len(order) < min(LEAVES, len(sample)) and far.max() > 1e-6:
+    while len(order) < min(LEAVES, len(sample)) and far.max() > RADII[0]:
         at = int(far.argmax())
         apart.append(far[at])
         order.append(at)
         far = np.minimum(far, np.linalg.norm(sample - sample[at], axis=1))
     inserted = np.array([4.0, *apart])
-    levels, radius = [], 2.0
-    while True:
-        n = int((inserted > radius).sum())
-        levels.append(np.arange(n))
-        if n == len(order) or radius < 1e-3:
-            break
-        radius /= 2
-    if len(levels[-1]) < len(order):
-        levels.append(np.arange(len(order)))
+    levels = [np.arange(int((inserted > r).sum())) for r in (2.0, RADII[0])]
     return sample[order], levels
 
 
@@ -83,32 +97,177 @@ def traverse(centres: np.ndarray, parents: list[np.ndarray], radii: list[np.ndar
     return alive
 
 
+def net(v: np.ndarray, radius: float) -> np.ndarray:
+    """For each vector the number of its centre, itself one of the vectors, within ``radius`` of it."""
+    own, left = np.full(len(v), -1), np.arange(len(v))
+    while len(left):
+        some = left[:256]
+        near = distances(v[some], v[some]) <= radius
+        picked, free = [], np.ones(len(some), bool)
+        for i in range(len(some)):
+            if free[i]:
+                picked.append(i)
+                free &= ~near[i]
+        centres = some[picked]
+        gap = distances(v[left], v[centres])
+        gap[np.searchsorted(left, centres), np.arange(len(centres))] = 0.0
+        best = gap.argmin(1)
+        inside = gap[np.arange(len(left)), best] <= radius
+        own[left[inside]] = centres[best[inside]]
+        left = left[~inside]
+    return own
+
+
+def paths(v: np.ndarray) -> np.ndarray:
+    """paths[i, k]: the number of i's centre in level k. Nodes of a level lie within nodes of the level above."""
+    out = np.zeros((len(v), len(RADII)), np.int64)
+    node = np.zeros(len(v), np.int64)
+    for k, radius in enumerate(RADII):
+        if not k:
+            node = net(v, radius)
+        else:
+            far = np.sqrt(np.maximum(0, 2 - 2 * (v * v[node]).sum(1)))
+            for c in np.unique(node[far > radius]):
+                members = np.flatnonzero(node == c)
+                members = np.concatenate([[c], members[members != c]])  # the centre first, which so stays one
+                node[members] = members[net(v[members], radius)]
+        out[:, k] = node
+    return out
+
+
+class Tree:
+    """A block's classes, in order of their paths, with the nodes of all levels. Of a node some classes may be missing;
+    its first one is then taken for its centre, and radii are those of the classes at hand."""
+
+    def __init__(self, v: np.ndarray, widths: np.ndarray, path: np.ndarray, rows: np.ndarray):
+        order = np.lexsort(path.T[::-1])
+        self.v, self.widths, self.rows = v[order], widths[order], rows[order]
+        path = path[order]
+        self.starts, self.radii, self.children = [], [], []
+        for k in range(path.shape[1]):
+            start = np.flatnonzero(np.concatenate([[True], path[1:, k] != path[:-1, k]])) if len(path) else np.zeros(0, np.int64)
+            size = np.diff(np.concatenate([start, [len(path)]]))
+            far = np.sqrt(np.maximum(0, 2 - 2 * (self.v * self.v[np.repeat(start, size)]).sum(1)))
+            self.starts.append(start)
+            self.radii.append(np.maximum.reduceat(far, start) * (size > 1) if len(start) else far)
+        self.starts.append(np.arange(len(path)))
+        self.radii.append(np.zeros(len(path)))
+        for up, low in zip(self.starts, self.starts[1:]):
+            self.children.append(np.searchsorted(low, np.concatenate([up, [len(path)]])))
+
+
+def product(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (x, y) of the ranges a0..a1 and b0..b1 of each place."""
+    n = b1 - b0
+    t = (a1 - a0) * n
+    k = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+    n = np.repeat(n, t)
+    return np.repeat(a0, t) + k // n, np.repeat(b0, t) + k % n
+
+
+def exact(a: np.ndarray, b: np.ndarray, threshold: float, dot: np.ndarray) -> np.ndarray:
+    """Whether dot reaches the threshold; close cases by an exactly rounded sum, alike in whatever way dot was computed."""
+    near = dot >= threshold
+    for i in np.flatnonzero(np.abs(dot - threshold) < 1e-12):
+        near[i] = math.fsum((a[i] * b[i]).tolist()) >= threshold
+    return near
+
+
+def dual(a: Tree, b: Tree, threshold: float, tried: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of linked classes; each pair once where a is b. tried: gets the numbers of distances computed."""
+    reach, last, same = math.sqrt(2 - 2 * threshold), len(a.starts) - 1, a is b
+
+    def alive(level: int, x: np.ndarray, y: np.ndarray, dot: np.ndarray) -> np.ndarray:
+        if level == last:
+            return exact(a.v[x], b.v[y], threshold, dot) & (a.widths[x] == b.widths[y])
+        return np.sqrt(np.maximum(0, 2 - 2 * dot)) <= a.radii[level][x] + b.radii[level][y] + reach + SLACK
+
+    def dense(level: int, a0: int, a1: int, b0: int, b1: int):
+        """A large product, by matrices; of these only pairs near enough to be left are looked at one by one."""
+        va, vb = a.v[a.starts[level][a0:a1]], b.v[b.starts[level][b0:b1]]
+        ra, rb = a.radii[level][a0:a1], b.radii[level][b0:b1]
+        step = min(1024, max(1, 16 * PAIRS // (b1 - b0)))
+        for at in range(0, a1 - a0, step):
+            part = slice(at, at + step)
+            begin = at if same and a0 == b0 else 0  # what lies before is the same pair in the other order
+            dot = va[part] @ vb[begin:].T
+            least = threshold - 1e-12 if level == last else 1 - (ra[part, None] + rb[None, begin:] + reach + 2 * SLACK) ** 2 / 2
+            x, y = np.nonzero(dot >= least)
+            if tried is not None:
+                tried.append((level, dot.size))
+            yield x + a0 + at, y + b0 + begin, dot[x, y]
+
+    def single(level: int, x: np.ndarray, y: np.ndarray):
+        if tried is not None:
+            tried.append((level, len(x)))
+        yield x, y, np.einsum("ij,ij->i", a.v[a.starts[level][x]], b.v[b.starts[level][y]])
+
+    def products(level: int, a0, a1, b0, b1):
+        t = (a1 - a0) * (b1 - b0)
+        for i in np.flatnonzero(t > PAIRS):
+            yield from dense(level, int(a0[i]), int(a1[i]), int(b0[i]), int(b1[i]))
+        small = np.flatnonzero(t <= PAIRS)
+        part = np.cumsum(t[small]) // PAIRS
+        for i in np.split(small, np.flatnonzero(np.diff(part)) + 1) if len(small) else []:
+            x, y = product(a0[i], a1[i], b0[i], b1[i])
+            if same:
+                x, y = (z[(x < y) if level == last else (x <= y)] for z in (x, y))
+            if len(x):
+                yield from single(level, x, y)
+
+    def down(level: int, a0, a1, b0, b1):
+        for x, y, dot in products(level, a0, a1, b0, b1):
+            keep = alive(level, x, y, dot)
+            if same:
+                keep &= (x < y) if level == last else (x <= y)
+            x, y = x[keep], y[keep]
+            if not len(x):
+                continue
+            if level == last:
+                yield x, y
+            else:
+                up, low = a.children[level], b.children[level]
+                yield from down(level + 1, up[x], up[x + 1], low[y], low[y + 1])
+
+    if len(a.v) and len(b.v):
+        yield from down(0, np.array([0]), np.array([len(a.starts[0])]), np.array([0]), np.array([len(b.starts[0])]))
+
+
+def union(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``root`` with the sets of x and y united; root[i]: the smallest of i's set."""
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while len(np.flatnonzero(root != root[root])):
+            root = root[root]
+
+
 def near_pairs(rows: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row per row of ``rows``: key, n_links, component_id and kept."""
-    spark = rows.sparkSession
-    reach = float(np.sqrt(2 - 2 * threshold))
+    reach = math.sqrt(2 - 2 * threshold)
     units = cut(unit_vectors(rows, key, vector))
-    classes = cut(units.where("v is not null").groupBy("v").agg(F.min("id").alias("name"), F.count("*").alias("n")))
-    sample = [np.frombuffer(r.v) for r in classes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()]
-    if not sample:
+    found = units.where("v is not null").groupBy("v").agg(F.min("id").alias("name"), F.count("*").alias("n"))
+    classes = cut(found.withColumn("number", F.monotonically_increasing_id()))
+    longest = classes.agg(F.max(F.length("v"))).first()[0]
+    if longest is None:
         return units.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    widths = {len(v) for v in sample}
-    if len(widths) > 1:
-        raise ValueError("vectors of different lengths")
-    centres, levels = tree_of(np.stack(sample))
+    width = longest // 8
+    sample = [bytes(r.v) for r in classes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()]
+    centres, levels = tree_of(matrix(sample, width)[0])
     # nested levels: a node's parent is the nearest centre of the level above
     gap = np.linalg.norm(centres[:, None] - centres[None], axis=2)
     parents = [gap[np.ix_(low, up)].argmin(1) for up, low in zip(levels, levels[1:])]
 
-    def assigned(batch):
-        v = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("v")).to_pylist())).reshape(batch.num_rows, -1)
-        distance = np.sqrt(np.maximum(0, 2 - 2 * v @ centres.T))
-        return v, distance, distance.argmin(1)
+    def column(batch, name):
+        return batch.column(batch.schema.get_field_index(name))
 
     def measure(batches):
         for batch in batches:
-            _, distance, leaf = assigned(batch)
-            node, out = leaf, []
+            distance = distances(matrix(column(batch, "v").to_pylist(), width)[0], centres)
+            node, out = distance.argmin(1), []
             for level in range(len(levels) - 1, -1, -1):
                 for k in np.unique(node):
                     out.append((level, int(k), float(distance[node == k, k].max()), int((node == k).sum())))
@@ -123,13 +282,8 @@ def near_pairs(rows: DataFrame, threshold: float, key: str = "vec_id", vector: s
             sizes[row.node] = row.n
     alive, leaf_r = traverse(centres, parents, radii, reach), radii[-1]
     # leaves in tree order share blocks; a large leaf has several of its own
-    path = np.arange(len(centres))
-    keys = [path]
-    for p in reversed(parents):
-        path = p[path]
-        keys.append(path)
     first, blocks, filled, block = np.zeros(len(centres), np.int64), np.ones(len(centres), np.int64), 0, 0
-    for leaf in np.lexsort(keys):
+    for leaf in np.lexsort([np.arange(len(centres)), *([parents[-1]] if parents else [])]):
         if sizes[leaf] > BLOCK:
             block += 1 if filled else 0
             first[leaf], blocks[leaf], filled = block, -(-sizes[leaf] // BLOCK), 0
@@ -140,59 +294,85 @@ def near_pairs(rows: DataFrame, threshold: float, key: str = "vec_id", vector: s
             first[leaf] = block
             filled += sizes[leaf]
 
+    def assign(batches):
+        for batch in batches:
+            leaf = distances(matrix(column(batch, "v").to_pylist(), width)[0], centres).argmin(1)
+            own = first[leaf] + column(batch, "salt").to_numpy() % blocks[leaf]
+            yield pa.RecordBatch.from_arrays([pa.array(own), *(column(batch, x) for x in ("v", "number", "n"))], names=["block", "v", "number", "n"])
+
+    def build(group: pa.Table) -> pa.Table:
+        path = paths(matrix(group.column("v").to_pylist(), width)[0])
+        return pa.table({"block": group.column("block"), "node": pa.array(path[:, 0]), "path": pa.array([p.tobytes() for p in path], pa.binary()), "v": group.column("v"), "number": group.column("number"), "n": group.column("n")})
+
     def deal(batches):
+        """Top nodes, by the classes that are their centres, to the pairs of blocks that their bounds leave."""
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                _, distance, leaf = assigned(batch)
-                salt = batch.column(batch.schema.get_field_index("salt")).to_numpy()
-                own = first[leaf] + salt % blocks[leaf]
-                row, to = np.nonzero((distance <= leaf_r[None] + reach + 1e-6) & alive[leaf])
+                distance = distances(matrix(column(batch, "v").to_pylist(), width)[0], centres)
+                leaf, own, r = distance.argmin(1), column(batch, "block").to_numpy(), column(batch, "r").to_numpy()
+                row, to = np.nonzero(distance <= leaf_r[None] + r[:, None] + reach + SLACK)
                 n = blocks[to]
                 row, to = np.repeat(row, n), np.repeat(first[to], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pair = np.stack([np.minimum(own[row], to), np.maximum(own[row], to), row], 1)
-                pair = np.unique(pair, axis=0)
-                row = pair[:, 2]
-                part = batch.take(pa.array(row))
-                columns = [part.column(part.schema.get_field_index(x)) for x in ("v", "name", "n")]
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(own[row]), pa.array(leaf[row].astype(np.int64)), *columns], names=["p", "q", "block", "leaf", "v", "name", "n"])
+                pair = np.unique(np.stack([np.minimum(own[row], to), np.maximum(own[row], to), row], 1)[own[row] != to], axis=0)
+                part = batch.take(pa.array(pair[:, 2]))
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), *(column(part, x) for x in ("block", "node", "r", "v"))], names=["p", "q", "block", "node", "r", "v"])
 
-    def compare(group: pa.Table) -> pa.Table:
+    def meet(group: pa.Table) -> pa.Table:
+        """Which top nodes of a pair of blocks are left, with both blocks."""
         p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
-        block, leaf = group.column("block").to_numpy(), group.column("leaf").to_numpy()
-        v = np.frombuffer(b"".join(group.column("v").to_pylist())).reshape(len(block), -1)
-        name, n = group.column("name").to_numpy(), group.column("n").to_numpy()
+        block, node, r = (group.column(x).to_numpy() for x in ("block", "node", "r"))
+        v = matrix(group.column("v").to_pylist(), width)[0]
         left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        left, right = left[np.argsort(leaf[left], kind="stable")], right[np.argsort(leaf[right], kind="stable")]
-        links, found = np.zeros(len(block), np.int64), []
-        for at in range(0, len(left), ROWS):
-            rows = left[at : at + ROWS]
-            others = right[alive[np.ix_(np.unique(leaf[rows]), leaf[right])].any(0)] if len(right) else right
-            if not len(others):
-                continue
-            near = v[rows] @ v[others].T >= threshold - 1e-15
-            if p == q:
-                near &= rows[:, None] != others[None]
-                links[rows] += near @ n[others]
-            else:
-                links[rows] += near @ n[others]
-                links[others] += n[rows] @ near
-            i, j = np.nonzero(near)
-            if len(i):
-                found += forest(zip(name[rows[i]].tolist(), name[others[j]].tolist()))
-        some = np.flatnonzero(links)
-        edges = forest(found)
-        return pa.table({"a": pa.array([*name[some].tolist(), *(a for a, _ in edges)], pa.int64()), "b": pa.array([*[None] * len(some), *(b for _, b in edges)], pa.int64()), "links": pa.array([*links[some].tolist(), *[0] * len(edges)], pa.int64())})
-
-    dealt = classes.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(1 << 30))).mapInArrow(deal, "p long, q long, block long, leaf long, v binary, name long, n long")
-    out = cut(dealt.groupBy("p", "q").applyInArrow(compare, "a long, b long, links long"))
+        keep = np.zeros(len(block), bool)
+        for at in range(0, len(left), 1024) if len(right) else ():
+            some = left[at : at + 1024]
+            near = distances(v[some], v[right]) <= r[some, None] + r[right][None] + reach + SLACK
+            keep[some] |= near.any(1)
+            keep[right] |= near.any(0)
+        return pa.table({"p": pa.array(np.full(keep.sum(), p)), "q": pa.array(np.full(keep.sum(), q)), "at": pa.array(block[keep]), "top": pa.array(node[keep])})
+
+    def compare(group: pa.Table) -> pa.Table:
+        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        block, number, n = (group.column(x).to_numpy() for x in ("block", "number", "n"))
+        v, widths = matrix(group.column("v").to_pylist(), width)
+        path = np.frombuffer(b"".join(group.column("path").to_pylist()), np.int64).reshape(-1, len(RADII))
+        sides = [np.flatnonzero(block == x) for x in ((p,) if p == q else (p, q))]
+        trees = [Tree(v[s], widths[s], path[s], s) for s in sides]
+        links, root = np.zeros(len(block), np.int64), np.arange(len(block))
+        for x, y in dual(trees[0], trees[-1], threshold):
+            x, y = trees[0].rows[x], trees[-1].rows[y]
+            links += np.bincount(x, n[y], len(links)).astype(np.int64) + np.bincount(y, n[x], len(links)).astype(np.int64)
+            root = union(root, x, y)
+        some, moved = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(root)))
+        nothing = [None] * len(some)
+        return pa.table({"a": pa.array([*number[some].tolist(), *number[moved].tolist()], pa.int64()), "b": pa.array([*nothing, *number[root[moved]].tolist()], pa.int64()), "links": pa.array([*links[some].tolist(), *[0] * len(moved)], pa.int64())})
+
+    dealt = classes.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(1 << 30))).mapInArrow(assign, "block long, v binary, number long, n long")
+    built = cut(dealt.groupBy("block").applyInArrow(build, "block long, node long, path binary, v binary, number long, n long"))
+
+    def radius(group: pa.Table) -> pa.Table:
+        """The top nodes of a block with their covering radii."""
+        v, widths = matrix(group.column("v").to_pylist(), width)
+        tree = Tree(v, widths, np.frombuffer(b"".join(group.column("path").to_pylist()), np.int64).reshape(-1, len(RADII)), np.arange(len(v)))
+        at = tree.rows[tree.starts[0]]
+        part = group.take(pa.array(at))
+        return pa.table({"block": part.column("block"), "node": part.column("node"), "r": pa.array(tree.radii[0]), "v": part.column("v")})
+
+    tops = built.groupBy("block").applyInArrow(radius, "block long, node long, r double, v binary")
+    pairs = tops.mapInArrow(deal, "p long, q long, block long, node long, r double, v binary")
+    left = cut(pairs.groupBy("p", "q").applyInArrow(meet, "p long, q long, at long, top long"))
+    wide = built.join(left, (F.col("block") == F.col("at")) & (F.col("node") == F.col("top"))).select("p", "q", "block", "path", "v", "number", "n")
+    alone = built.select(F.col("block").alias("p"), F.col("block").alias("q"), "block", "path", "v", "number", "n")
+    out = cut(alone.unionByName(wide).groupBy("p", "q").applyInArrow(compare, "a long, b long, links long"))
     counts = out.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "counted")
-    found = components(out.where("b is not null"))
-    named = classes.join(found, F.col("name") == F.col("node"), "left").join(counts, F.col("name") == F.col("counted"), "left")
-    named = named.select(F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "name").alias("component_id"))
-    joined = units.join(named, F.col("v") == F.col("w"), "left")
-    component = F.coalesce("component_id", "id")
-    return joined.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    joined = classes.join(components(out.where("b is not null")), F.col("number") == F.col("node"), "left").join(counts, F.col("number") == F.col("counted"), "left")
+    joined = joined.select("v", "name", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "number").alias("component"))
+    names = joined.groupBy("component").agg(F.min("name").alias("component_id")).select(anew(F.col("component")).alias("c"), "component_id")
+    named = joined.join(names, F.col("component") == F.col("c")).select(F.col("v").alias("w"), "n_links", "component_id")
+    given = units.where("v is not null").join(named, F.col("v") == F.col("w")).select("id", "n_links", "component_id")
+    none = units.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return given.unionByName(none).select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
