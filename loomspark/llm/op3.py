@@ -1,18 +1,22 @@
-"""Toxicity by compression distance to two zstandard dictionaries.
-
-Training (labelled rows only): words and stems are counted in toxic and in ordinary documents, each once for every
-different word before it, so that copies of a document count once; log-likelihood ratio and rate tell which mark a kind. Both dictionaries end with the same frequent words; before these the toxic one has the words
-and stems that mark toxic documents, and the ordinary one, in as many bytes, those that mark ordinary ones. The frequencies are counted on the executors over at most ``SAMPLE`` labelled documents of each
-kind, chosen by a hash of the key; only words past the ratio's threshold and the frequent ones reach the driver, at most
-``WORDS`` of each.
-
-Scoring: a text is cut into windows of ``WINDOW`` bytes that overlap by ``OVERLAP``; each is compressed against either
-dictionary. The gain of the toxic one, summed up as the largest window's, the mean of the three largest, the share of
-windows with a marked gain and their number, goes through a logistic curve fitted on other labelled rows than the
-dictionaries saw, so that it is calibrated on gains as new text shows them.
-
-Null and empty texts are one empty window. Equal texts have equal scores. Without labelled rows of both kinds the score
-is 0. An empty table gives no rows. Labels, language and source are no input of a score.
+"""Toxicity by compression distance to two trained zstandard dictionaries.
+
+Training (labelled rows only, at most ``SAMPLE`` documents of each kind on each side, chosen by a hash of the key). Words
+and stems are counted in toxic and in ordinary documents, each once for every different word before it, so that copies
+of a document count once; log-likelihood ratio and rate tell which mark toxic text. The passages around these, a word on
+either side, are the toxic samples; random passages of ordinary documents, as many and alike in length, are the ordinary
+ones; the library's trainer makes a dictionary of ``OWN`` bytes of either. Behind each stands the same dictionary of
+``SHARED`` bytes, trained on windows of other ordinary documents, so that plain text costs the same under both and the
+difference tells about the passages alone. At most ``PASSAGES`` samples of each sort, chosen by hash, reach the driver.
+
+Scoring: a text is cut into windows of ``WINDOW`` bytes that overlap by ``OVERLAP``; each is compressed with either
+dictionary. The gains of the toxic one (the largest, the mean of the three largest, the mean of all, how many and what
+share reach each of some sizes) go through a logistic curve fitted on other labelled rows than the dictionaries saw, so
+that it is calibrated on gains as new text shows them.
+
+Null and empty texts are one empty window. Equal texts have equal scores. Rows that repeat a key are scored by their own
+texts; of those that repeat a sampled key, words and passages of all are learnt and the curve learns from one. Without
+labelled rows of both kinds, or without a mark, the score is 0. An empty table gives no rows. Labels, language, source
+and any other columns are no input of a score.
 """
 
 from __future__ import annotations
@@ -28,8 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, cut, table
 
-SAMPLE, WORDS = 1500, 1500
-WINDOW, OVERLAP, MARKED = 80, 16, 2
+SAMPLE, PASSAGES = 1500, 30_000
+WINDOW, OVERLAP, STEPS = 80, 16, (2, 3, 4, 5, 6, 8)
+OWN, SHARED = 2048, 65_536
+#: Passages cut at random from an ordinary document.
+CUTS = 20
 #: Least log-likelihood ratio, and times the other kind's rate.
 RATIO, TIMES = 16.0, 4.0
 
@@ -54,7 +61,7 @@ def compressors(toxic: bytes, ordinary: bytes):
 
     out = []
     for content in (toxic, ordinary):
-        params = zstandard.ZstdCompressionParameters(compression_level=3, window_log=16, hash_log=14, chain_log=14, search_log=4, min_match=3, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_dict_id=False)
+        params = zstandard.ZstdCompressionParameters(compression_level=3, window_log=17, hash_log=15, chain_log=15, search_log=5, min_match=3, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_dict_id=False)
         own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         own.precompute_compress(compression_params=params)
         out.append(zstandard.ZstdCompressor(dict_data=own, compression_params=params))
@@ -65,45 +72,42 @@ def gains(text: str | None, toxic: bytes, ordinary: bytes) -> list[float]:
     """Features of a text."""
     a, b = (c.compress for c in compressors(toxic, ordinary))
     got = np.array([len(b(w)) - len(a(w)) for w in windows(text)], np.float64)
-    top = np.sort(got)[-3:]
-    marked = (got >= MARKED).sum()
-    return [top[-1], top.mean(), marked / len(got), np.log1p(marked), got.mean()]
+    top, reached = np.sort(got)[-3:], [int((got >= x).sum()) for x in STEPS]
+    return [top[-1], top.mean(), got.mean(), np.log1p(len(got)), *np.log1p(reached), reached[1] / len(got), reached[3] / len(got)]
 
 
-def ratio(a: float, n: float, b: float, m: float) -> float:
-    """Signed log-likelihood ratio of a in n against b in m."""
-
-    def likelihood(k, of, p):
-        return k * np.log(max(p, 1e-12)) + (of - k) * np.log(max(1 - p, 1e-12))
+def marked_passages(text: str | None, marked: set[str]) -> list[bytes]:
+    """The words that are marked, or begin so, each with the words around it."""
+    words, out = (text or "").lower().split(), []
+    for i, word in enumerate(words):
+        found = _words(word)
+        if found and (found[0] in marked or any(found[0][:n] in marked for n in range(4, 8))):
+            out.append((" ".join(words[max(0, i - 1) : i + 2]) + " ").encode())
+    return out
 
-    p = (a + b) / (n + m)
-    return (1 if a / n > b / m else -1) * 2 * (likelihood(a, n, a / n) + likelihood(b, m, b / m) - likelihood(a, n, p) - likelihood(b, m, p))
 
+def random_passages(text: str | None) -> list[bytes]:
+    """As long as marked ones, from places that the text itself decides on."""
+    words = (text or "").lower().split()
+    places = np.random.default_rng(crc32((text or "").encode())).integers(0, max(1, len(words)), CUTS if words else 0)
+    return [(" ".join(words[max(0, i - 1) : i + 2]) + " ").encode() for i in places.tolist()]
 
-def marks(a: float, n: float, b: float, m: float) -> bool:
-    return ratio(a, n, b, m) >= RATIO and a / n >= TIMES * (b + 0.5) / m
 
+def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """A dictionary by the library's trainer; of samples too few for it the samples themselves."""
+    import zstandard
 
-def dictionaries(counts: list[tuple[str, int, int]], n: int, m: int) -> tuple[bytes, bytes]:
-    """counts: (word or stem, its toxic uses, its ordinary uses) of n and m in all."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
-    def strongest(found: list[tuple[float, str]]) -> list[str]:
-        out: list[str] = []
-        # of stems and words with a common start the strongest, at a tie the longest, stands for all
-        for _, w in sorted(found, key=lambda c: (-c[0], -len(c[1]), c[1])):
-            if not any(w.startswith(t) or t.startswith(w) for t in out):
-                out.append(w)
-        return out[:WORDS][::-1]
 
-    toxic = strongest([(ratio(a, n, b, m), w) for w, a, b in counts if marks(a, n, b, m)])
-    ordinary = strongest([(ratio(b, m, a, n), w) for w, a, b in counts if marks(b, m, a, n)])
-    apart = {*toxic, *ordinary}
-    base = [w for w, a, b in sorted(counts, key=lambda c: (c[2], c[0])) if w not in apart and not marks(a, n, b, m)][-WORDS:]
-    own, other = (" ".join([*words, ""]).encode() for words in (toxic, ordinary))
-    # the shared part lies equally far behind in both, so that it costs the same
-    other = other[-len(own) :].rjust(len(own), b"\0") if toxic else b""
-    shared = " ".join(["", *base, ""]).encode()
-    return (own if toxic else b"") + shared, other + shared
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], plain: list[bytes]) -> tuple[bytes, bytes]:
+    """From toxic and ordinary passages and windows of plain text."""
+    own, shared = trained(toxic, OWN, 16, 6), trained(plain, SHARED, 64, 8)
+    other = trained(ordinary, max(256, len(own)), 16, 6)[-len(own) :].rjust(len(own))
+    return own + shared, other + shared
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> dict:
@@ -151,10 +155,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "do
     both = (F.col("a") + F.col("b")) / (n + m)
     log = lambda k, of, x: k * F.log(F.greatest(x, F.lit(1e-12))) + (of - k) * F.log(F.greatest(1 - x, F.lit(1e-12)))
     strength = 2 * (log(F.col("a"), F.lit(n), p) + log(F.col("b"), F.lit(m), q) - log(F.col("a"), F.lit(n), both) - log(F.col("b"), F.lit(m), both))
-    counts = counts.withColumn("strength", strength * F.when(p > q, 1).otherwise(-1))
-    pick = lambda *order: [(r.w, r.a, r.b) for r in counts.orderBy(*order, "w").limit(4 * WORDS).collect()]
-    found = sorted({*pick(F.desc("strength")), *pick(F.asc("strength")), *pick(F.desc("b"))})
-    toxic, ordinary = dictionaries(found, n, m)
+    # words of the bounded sample that mark toxic text
+    marked = {r.w for r in counts.where((p > q) & (strength >= RATIO) & (p >= TIMES * (F.col("b") + 0.5) / m)).select("w").collect()}
+    if not marked:
+        return None
+
+    def passages(batches):
+        """Sort 0 toxic, 1 ordinary, 2 windows of plain text; ordinary documents go by halves to either of the latter."""
+        for batch in batches:
+            rows = []
+            for y, t, half in arrow_rows(batch, "y", "t", "half"):
+                rows += [(2, w) for w in windows(t)] if not y and half else [(1 - y, x) for x in (marked_passages(t, marked) if y else random_passages(t))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["sort", "x"])
+
+    cuts = cut(wanted.where("side = 0").select("y", "t", F.pmod(F.xxhash64("label_key", F.lit(2)), F.lit(2)).alias("half")).mapInArrow(passages, "sort int, x binary"))
+    pick = lambda sort, most: [bytes(r.x) for r in cuts.where(F.col("sort") == sort).orderBy(F.xxhash64("x"), "x").limit(most).collect()]
+    bad = pick(0, PASSAGES)
+    toxic, ordinary = dictionaries(bad, pick(1, len(bad)), pick(2, PASSAGES))
 
     def measure(batches):
         for batch in batches:
