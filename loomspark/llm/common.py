@@ -14,13 +14,26 @@ from pyspark.sql import functions as F
 BATCH_CHARS = 3_000_000
 
 
+#: Bytes of an Arrow batch between Spark and Python, so that its memory doesn't depend on the length of texts.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by ``BATCH_BYTES`` in a session that has no bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; further columns than those that an operator names are ignored by it."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: ``spark.checkpoint.dir``. Unset, a local master has a temporary one; others fail."""
+    small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found:

@@ -39,7 +39,7 @@ TWO = ((0, 32), (32, 32))
 #: Distinct fingerprints above which two blocks with more anchors and replicas take less work than three.
 MANY = 1 << 27
 TILE = 2048
-BUFFER = 200_000
+BUFFER = 50_000
 
 
 def fingerprint(text: str | None, words: int) -> int:
