@@ -13,13 +13,26 @@ from decimal import Decimal
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import ColumnRef
 
-_AGGREGATES = re.compile(r"\b(count|sum|avg|min|max|any_value|first|collect_list|collect_set)\s*\(", re.I)
+_CALLS = re.compile(r"\b([a-z_]\w*)\s*\(", re.I)
+_known: dict[str, bool] = {}
+
+
+def _aggregates(name: str) -> bool:
+    """Whether Spark's function registry, the session's own functions included, has an aggregate of that name."""
+    name = name.lower()
+    if name not in _known:
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            return name in ("count", "sum", "avg", "min", "max", "any_value", "first", "collect_list", "collect_set")
+        found = spark._jsparkSession.sessionState().functionRegistry().lookupFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+        _known[name] = found.isDefined() and found.get().getGroup() == "agg_funcs"
+    return _known[name]
 
 
 @dataclass(frozen=True)
@@ -80,7 +93,7 @@ def literal_sql(value: Any) -> str:
 def bound(sql: str, bindings: list[Any] | tuple = ()) -> str:
     """Puts bound values where ``?`` stands outside of quotes and comments."""
     values, out = list(bindings), []
-    for part in re.split(r"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`]|``)*`|--[^\n]*|\?)", sql):
+    for part in re.split(r"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`]|``)*`|--[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\?)", sql):
         if part == "?":
             if not values:
                 raise ValueError("more placeholders than values")
@@ -94,7 +107,7 @@ def bound(sql: str, bindings: list[Any] | tuple = ()) -> str:
 def raw(sql: str, bindings: list[Any] | tuple = ()) -> Expr:
     """A SQL scalar as it is; ``?`` are bound in order."""
     text = bound(sql, bindings)
-    return Expr(F.expr(text), bool(_AGGREGATES.search(re.sub(r"'[^']*'", "", sql))) and " over " not in sql.lower() and "select" not in sql.lower(), text=text)
+    return Expr(F.expr(text), any(map(_aggregates, _CALLS.findall(re.sub(r"'[^']*'", "", sql)))) and " over " not in sql.lower() and "select" not in sql.lower(), text=text)
 
 
 def coerced(left: Any, value: Any) -> Column:

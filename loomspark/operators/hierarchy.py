@@ -37,16 +37,26 @@ def is_in_hierarchy(ancestor: str, column: str = "type_path", strict: bool = Fal
     return F.array_contains(F.split(column, "/"), ancestor) if strict else F.contains(F.col(column), F.lit(ancestor))
 
 
-def with_delegates(db: Database, base: TableDef, nodes: list[TypeNode], depth: int = 10, key: str = "id") -> DataFrame:
-    """Base rows with one nullable struct column ``_<type>`` for each type of the tree; the last row of a key wins."""
+def _below(node: TypeNode) -> list[str]:
+    return [node.name, *(x for c in node.children for x in _below(c))]
+
+
+def with_delegates(db: Database, base: TableDef, nodes: list[TypeNode], depth: int = 10, key: str = "id", type_column: str = "type") -> DataFrame:
+    """Base rows with one nullable struct column ``_<type>`` for each type of the tree; the last row of a key wins.
+
+    Where the base has a type column, a row gets the levels of its own type and of those above it alone, whatever other
+    tables hold under its key.
+    """
     df = db.scan(base)
+    typed = type_column in base.columns
 
     def attach(df: DataFrame, nodes: tuple[TypeNode, ...] | list[TypeNode], parent: Column, left: int) -> DataFrame:
         for n in nodes if left else ():
             rows = db.scan(n.table)
             order = F.col(quoted(n.key)) if n.key in n.table.columns else F.lit(0)
             own = rows.groupBy(F.col(quoted(n.fk)).alias("__k")).agg(F.max_by(F.struct(*(F.col(quoted(c)).alias(c) for c in n.table.columns)), order).alias(f"_{n.name}"))
-            df = df.join(own, parent == F.col("__k"), "left").drop("__k")
+            mine = F.col(quoted(type_column)).isin(_below(n)) if typed else F.lit(True)
+            df = df.join(own, mine & (parent == F.col("__k")), "left").drop("__k")
             if n.children:
                 df = attach(df, n.children, F.col(f"_{n.name}.{n.key}"), left - 1)
         return df
