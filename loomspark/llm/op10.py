@@ -7,10 +7,11 @@ damaged one is found by its checksum. The rows lie in Parquet files, which Spark
 that Spark reaches, safe against lost executors and repeated tasks.
 
 Model, for each block. The last id that followed the same two ids (order 2) and the same one id (order 1) are
-candidates. Whether a candidate is right is a binary choice; its probability mixes three adaptive estimates (by the
-order-2 or order-1 confidence, by whether both agree, and overall) in the logistic domain with weights that learn
-online. An id that no candidate gives is coded by order 0: four 16-way digits with adaptive counts, each in the context
-of the digits before it. All arithmetic is in integers, so every machine decodes alike.
+candidates. Whether a candidate is right is a binary choice; its probability mixes what all three orders say of it in
+the logistic domain, with weights that learn online: adaptive estimates by the candidate's order-2 confidence and by its
+order-1 confidence (none, where that order has another candidate), and by how often it came so far at all (order 0),
+beside one by no context. An id that no candidate gives is coded by order 0 alone: four 16-way digits with adaptive
+counts, each in the context of the digits before it. All arithmetic is in integers, so every machine decodes alike.
 
 Lockstep. Python is too slow for one id at a time, so all blocks of a group advance together, one id per step, with
 NumPy over blocks. Carries of the range coder are added to words already written and settled at the end.
@@ -122,31 +123,36 @@ class Coder:
 
 
 class Mixer:
-    """Adaptive probability that a candidate is right, for each lane."""
+    """Adaptive probability that a candidate is right, for each lane: four inputs, each by a context of its own."""
 
     def __init__(self, lanes: int):
-        self.p = np.full((lanes, 3, 4), 1024, np.int64)
-        self.w = np.full((lanes, 3), 24 << 10, np.int64)
-
-    def code(self, coder: Coder, lane: np.ndarray, confidence: np.ndarray, agree: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        inputs = [self.p[lane, 0, confidence], self.p[lane, 1, agree], self.p[lane, 2, 0]]
-        s = np.stack([_stretch[x] for x in inputs], 1)
-        w = self.w[lane]
+        self.p = np.full((lanes * 4, 8), 1024, np.int64)
+        self.w = np.full((lanes, 4), 20 << 10, np.int64)
+
+    def code(self, coder: Coder, lane: np.ndarray, contexts: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        """contexts: a row of four, each below 8."""
+        place = (lane * 32)[:, None] + _inputs + contexts
+        flat, w = self.p.reshape(-1), self.w[lane]
+        x = flat[place]
+        s = _stretch[x]
         p = _squash[((s * w).sum(1) >> 16).clip(-2048, 2047) + 2048]
         bit = coder.bit(lane, p, bit)
         goal = bit.astype(np.int64) * 4095
         self.w[lane] = (w + (s * (goal - p)[:, None] >> 9)).clip(-(1 << 18), 1 << 18)
-        for k, (x, c) in enumerate(zip(inputs, (confidence, agree, 0))):
-            self.p[lane, k, c] = x + (goal - x >> 4)
+        flat[place] = x + (goal[:, None] - x >> 4)
         return bit
 
 
+_inputs = np.arange(4) * 8
+
+
 def _code(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None):
     """Encodes ids[lane, step], or decodes; the same model drives both."""
     lanes, coder = len(lengths), Coder(len(lengths), words)
     two, one = Mixer(lanes), Mixer(lanes)
     next2, next1 = np.full((lanes, SLOTS), -1, np.int32), np.full((lanes, SLOTS), -1, np.int32)
     sure2, sure1 = np.zeros((lanes, SLOTS), np.int8), np.zeros((lanes, SLOTS), np.int8)
+    often = np.zeros((lanes, SLOTS), np.int16)  # order 0: how often ids of a slot came
     digits = np.ones((lanes, 1 + 16 + 256 + 256, 16), np.int16).reshape(lanes * 529, 16)
     out = np.zeros((lanes, int(lengths.max())), np.int64) if ids is None else None
     a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -158,10 +164,15 @@ def _code(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None)
         c2, c1 = next2[lane, h2].astype(np.int64), next1[lane, h1].astype(np.int64)
         s2, s1 = sure2[lane, h2].astype(np.int64), sure1[lane, h1].astype(np.int64)
         found = np.full(len(lane), -1, np.int64)
-        for mixer, c, sure, may in ((two, c2, s2, c2 >= 0), (one, c1, s1, (c1 >= 0) & (c1 != c2))):
+        for mixer, c, may in ((two, c2, c2 >= 0), (one, c1, (c1 >= 0) & (c1 != c2))):
             if len(ask := np.flatnonzero(may & (found < 0))):
-                right = mixer.code(coder, lane[ask], sure[ask], (c1[ask] == c2[ask]).astype(np.int64), None if known is None else known[ask] == c[ask])
-                found[ask[right]] = c[ask[right]]
+                on, own = lane[ask], c[ask]
+                contexts = np.zeros((len(ask), 4), np.int64)
+                contexts[:, 0] = np.where(own == c2[ask], s2[ask] + 1, 0)
+                contexts[:, 1] = np.where(own == c1[ask], s1[ask] + 1, 0)
+                contexts[:, 2] = _rarity[(often[on, own & SLOTS - 1].astype(np.int64) << 11) // (step + 1)]
+                right = mixer.code(coder, on, contexts, None if known is None else known[ask] == own)
+                found[ask[right]] = own[right]
         if len(rest := np.flatnonzero(found < 0)):
             on = lane[rest]
             base, own = on * 529, None if known is None else known[rest]
@@ -171,18 +182,22 @@ def _code(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None)
             d2 = coder.digit(on, digits, base + 17 + d0 * 16 + d1, d[2])
             d3 = coder.digit(on, digits, base + 273 + d1 * 16 + d2, d[3])
             found[rest] = d0 << 12 | d1 << 8 | d2 << 4 | d3
-        for table_, sure, h, c in ((next2, sure2, h2, c2), (next1, sure1, h1, c1)):
+        for table_, sure, h, c, s in ((next2, sure2, h2, c2, s2), (next1, sure1, h1, c1, s1)):
             right = c == found
-            s = sure[lane, h]
             swap = ~right & (s == 0)
             table_[lane[swap], h[swap]] = found[swap]
             sure[lane, h] = np.where(right, np.minimum(s + 1, 3), np.maximum(s - 1, 0) * ~swap)
+        often[lane, found & SLOTS - 1] += 1
         a[lane], b[lane] = b[lane], found
         if out is not None:
             out[lane, step] = found
     return coder.finish() if words is None else out
 
 
+#: Share of an id's slot so far, in 2048ths -> context: its order of magnitude.
+_rarity = np.array([min(7, max(0, int(x).bit_length() - 1)) for x in range((1 << 11) + 1)], np.int64)
+
+
 def encode_ids(ids: np.ndarray) -> bytes:
     """Blocks of ids below 65536: their number, then of each the ids, words and checksum, then all words."""
     n = len(ids)
@@ -260,7 +275,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, kind: str = "byte", e
         if keys:
             yield group()
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange("k").sortWithinPartitions("k")
+    # rows that share a key, or have none, may lie in several partitions, one behind the other
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).repartitionByRange("k", "h").sortWithinPartitions("k", "h")
     rows.mapInArrow(run, "part int, number long, n_ids long, payload binary").write.parquet(path)
 
 

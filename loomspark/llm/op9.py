@@ -4,13 +4,18 @@ Base spans are four patterns with checks (address parts, Luhn, numbers of digits
 search is linear in the text: possessive repeats where nothing that follows could use what they gave up, and starts only
 where a run of their first characters starts or the last match ended.
 
-Added spans: every run of at least eight letters and digits that holds both, or of nine or more digits alone, and that
-is no base span, is a candidate for kind ``secret``. Three labelers vote on it: a pattern (the shape of a key or card
-number), a gazetteer (a word such as *password* or *account* shortly before it) and the context (an assignment or quote
-just before it). Expectation-maximisation over the counts of vote patterns (two hidden classes, votes independent within
-a class) gives each labeler's reliability and every vote pattern's probability. With these as soft labels a naive Bayes
-classifier over votes, length, alphabet and case decides on spans. Votes and features have few values, so only a table
-of bounded size (at most 8 * 4 * 3 * 3 rows) reaches the driver, and the counts cover all candidates of the corpus.
+Added spans, of three kinds: a ``secret`` candidate is every run of at least eight letters and digits that holds both, or
+of nine or more digits alone; an ``iban`` candidate has the shape of an international account number; an ``ssn`` one that
+of a social security number, 3-2-4 digits. Candidates that meet a base span are left out. Three labelers of each kind
+vote: a pattern (for secrets the shape of a key or card number, for account numbers their check digits, for social
+security numbers the ranges in use), a gazetteer (cue words before a secret or social security number, or the prefix of
+a known sort of key; the countries with account numbers) and the context (an assignment or quote just before a secret, a
+word for the number before the others). Expectation-maximisation over the counts of vote patterns of a kind (two hidden
+classes, votes independent within a class; all other words of the texts are candidates without votes, so that a corpus
+whose candidates are all personal data isn't split in two) gives each labeler's reliability and every vote pattern's probability. With
+these as soft labels a naive Bayes classifier over votes, length, alphabet and case decides on spans. Votes and features
+have few values, so only a table of bounded size (at most 3 * 8 * 4 * 3 * 3 rows) reaches the driver, and the counts
+cover all candidates of the corpus.
 
 Null and empty texts have no spans. Repeated rows are treated alike. An empty table gives no rows. Other columns are
 ignored. Positions are code points, ends exclusive.
@@ -25,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "iban", "ssn")
+#: Kinds that the method adds.
+ADDED = KINDS[4:]
 LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
     "email": rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -33,10 +40,18 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9]{9,}+(?![A-Za-z])|(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{8,}+)(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: What a text must hold for a pattern to be tried.
-NEEDS = {"email": "@", "phone": "+"}
-GAZETTEER = "password|passwd|pwd|secret|token|key|apikey|account|card|iban|passport|login|pin|ssn"
+NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
+#: Words that name a secret, and how keys of widely used services begin.
+SECRET_WORDS = "password|passwd|passphrase|passcode|pwd|secret|token|bearer|authorization|credential|credentials|api_key|apikey|access_key|private_key|client_secret|signing_key|key|account|card|passport|login|pin|contraseña|clave|passwort|kennwort|schlüssel|mot de passe|clé|jeton"
+KEY_PREFIXES = "AKIA|ASIA|AIza|ghp|gho|ghs|sk|pk|rk|xoxb|xoxp|glpat|npm|SG|ya29|eyJ"
+#: Countries with international account numbers.
+IBAN_COUNTRIES = ("AD", "AE", "AL", "AT", "AZ", "BA", "BE", "BG", "BH", "BR", "BY", "CH", "CR", "CY", "CZ", "DE", "DK", "DO", "EE", "EG", "ES", "FI", "FO", "FR", "GB", "GE", "GI", "GL", "GR", "GT", "HR", "HU", "IE", "IL", "IQ", "IS", "IT", "JO", "KW", "KZ", "LB", "LC", "LI", "LT", "LU", "LV", "LY", "MC", "MD", "ME", "MK", "MR", "MT", "MU", "NL", "NO", "PK", "PL", "PS", "PT", "QA", "RO", "RS", "SA", "SC", "SE", "SI", "SK", "SM", "ST", "SV", "TL", "TN", "TR", "UA", "VA", "VG", "XK")
+IBAN_WORDS = "iban|bic|account|konto|kontonummer|bank|compte|cuenta|banque|banco"
+SSN_WORDS = "ssn|social security|social|security|taxpayer|tin|itin"
 BLOCK = 128
 
 
@@ -106,13 +121,24 @@ def of_kind(number: int):
     return lambda s: s["k"] == number
 
 
-def votes(m: Column, before: Column) -> list[Column]:
+def remainder(m: Column) -> Column:
+    """An account number's remainder by 97, letters as 10 to 35, its first four characters last."""
+    chars = let(F.regexp_replace(m, "\\x20", ""), lambda x: F.split(F.concat(F.substr(x, F.lit(5)), F.substr(x, F.lit(1), F.lit(4))), ""))
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0), lambda acc, c: let(value(c), lambda v: (F.when(v > 9, acc * 100).otherwise(acc * 10) + v) % 97))
+
+
+def votes(kind: str, m: Column, before: Column) -> list[Column]:
     """Regex, gazetteer and context labelers."""
-    return [
-        (m.rlike(r"\A[0-9a-f]{32,}\z") | m.rlike(r"\A[0-9]{12,19}\z") | m.rlike(r"\A(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{16,}\z")).cast("int"),
-        F.lower(before).rlike(rf"(?:{GAZETTEER})[^a-z]{{0,6}}\z").cast("int"),
-        before.rlike(r"[=:]\s?[\"']?\z").cast("int"),
-    ]
+    said = lambda words: F.lower(before).rlike(rf"(?<![a-z])(?:{words})[^a-z]{{0,6}}\z")
+    if kind == "iban":
+        out = [remainder(m) == 1, F.substr(m, F.lit(1), F.lit(2)).isin(*IBAN_COUNTRIES), said(IBAN_WORDS)]
+    elif kind == "ssn":
+        out = [m.rlike(r"\A(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), said(SSN_WORDS), before.rlike(r"[:#=]\s?\z")]
+    else:
+        shape = m.rlike(r"\A[0-9a-f]{32,}\z") | m.rlike(r"\A[0-9]{12,19}\z") | m.rlike(r"\A(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{16,}\z") | m.rlike(r"\A(?=.*[A-Z])(?=.*[0-9])[A-Z0-9]{16,}\z")
+        out = [shape, said(SECRET_WORDS) | m.rlike(rf"\A(?:{KEY_PREFIXES})[A-Za-z0-9]{{12,}}") | before.rlike(rf"(?<![A-Za-z0-9])(?:{KEY_PREFIXES})[_.-]\z"), before.rlike(r"[=:]\s?[\"']?\z")]
+    return [x.cast("int") for x in out]
 
 
 def features(m: Column) -> list[Column]:
@@ -125,17 +151,19 @@ def features(m: Column) -> list[Column]:
 
 
 SIZES = (2, 2, 2, 4, 3, 3)
+TABLE = 2 * 2 * 2 * 4 * 3 * 3
 
 
-def combination(m: Column, before: Column) -> Column:
-    """One number for a candidate's votes and features."""
-    out = F.lit(0)
-    for size, x in zip(SIZES, [*votes(m, before), *features(m)]):
+def combination(kind: str, m: Column, before: Column) -> Column:
+    """One number for a candidate's kind, votes and features."""
+    out = F.lit(ADDED.index(kind))
+    for size, x in zip(SIZES, [*votes(kind, m, before), *features(m)]):
         out = out * size + x
     return out
 
 
 def split_combination(number: int) -> tuple[int, ...]:
+    """Votes and features, without the kind."""
     out = []
     for size in reversed(SIZES):
         number, x = divmod(number, size)
@@ -143,30 +171,44 @@ def split_combination(number: int) -> tuple[int, ...]:
     return tuple(reversed(out))
 
 
-def accepted(counts: dict[int, int], rounds: int = 100) -> list[int]:
-    """Combinations that the classifier takes for personal data, from the counts of all combinations."""
-    rows = [(split_combination(c), n) for c, n in sorted(counts.items())]
-    patterns: dict[tuple, int] = {}
-    for x, n in rows:
-        patterns[x[:3]] = patterns.get(x[:3], 0) + n
+def reliabilities(patterns: dict[tuple, int], rounds: int = 100) -> tuple[float, list[float], list[float], dict[tuple, float]]:
+    """Expectation-maximisation over counts of vote patterns: the share of personal data, each labeler's chance to vote
+    for it and for the rest, and every pattern's probability."""
     total = sum(patterns.values())
-    if not total:
-        return []
-    prior, yes, no = 0.5, [0.8] * 3, [0.2] * 3  # P(vote | personal), P(vote | not)
-    soft: dict[tuple, float] = {}
+    soft = {v: float(sum(v) >= 2) for v in patterns}  # at first by majority
+    prior, yes, no = 0.5, [0.5] * 3, [0.5] * 3  # P(vote | personal), P(vote | not)
     for _ in range(rounds):
+        mass = sum(soft[v] * n for v, n in patterns.items())
+        prior = min(0.999, max(1e-9, (mass + 1) / (total + 2)))
+        for k in range(3):
+            yes[k] = (sum(soft[v] * n for v, n in patterns.items() if v[k]) + 0.8) / (mass + 1)
+            no[k] = (sum((1 - soft[v]) * n for v, n in patterns.items() if v[k]) + 0.2) / (total - mass + 1)
+            yes[k], no[k] = (min(0.999, max(1e-6, p)) for p in (yes[k], no[k]))
         for v in patterns:
             a, b = math.log(prior), math.log(1 - prior)
             for k, x in enumerate(v):
                 a += math.log(yes[k] if x else 1 - yes[k])
                 b += math.log(no[k] if x else 1 - no[k])
             soft[v] = 1 / (1 + math.exp(min(50.0, max(-50.0, b - a))))
-        mass = sum(soft[v] * n for v, n in patterns.items())
-        prior = min(0.999, max(0.001, (mass + 1) / (total + 2)))
-        for k in range(3):
-            yes[k] = (sum(soft[v] * n for v, n in patterns.items() if v[k]) + 0.8) / (mass + 1)
-            no[k] = (sum((1 - soft[v]) * n for v, n in patterns.items() if v[k]) + 0.2) / (total - mass + 1)
-            yes[k], no[k] = (min(0.99, max(0.01, p)) for p in (yes[k], no[k]))
+    return prior, yes, no, soft
+
+
+def accepted(counts: dict[int, int], words: int, rounds: int = 100) -> list[int]:
+    """Combinations that the classifier of their kind takes for personal data, from the counts of all combinations and
+    the number of words, on which but for the candidates no labeler votes."""
+    out = []
+    for kind in range(len(ADDED)):
+        own = {c: n for c, n in counts.items() if c // TABLE == kind}
+        out += _accepted(own, max(0, words - sum(own.values())), rounds) if own else []
+    return sorted(out)
+
+
+def _accepted(counts: dict[int, int], others: int, rounds: int) -> list[int]:
+    rows = [(split_combination(c), n) for c, n in sorted(counts.items())]
+    patterns: dict[tuple, int] = {(0, 0, 0): others}
+    for x, n in rows:
+        patterns[x[:3]] = patterns.get(x[:3], 0) + n
+    _, _, _, soft = reliabilities(patterns, rounds)
     # naive Bayes over votes and features, with the soft labels as weights
     weight = [[[1.0, 1.0] for _ in range(size)] for size in SIZES]
     for x, n in rows:
@@ -174,10 +216,12 @@ def accepted(counts: dict[int, int], rounds: int = 100) -> list[int]:
             weight[f][value][1] += n * soft[x[:3]]
             weight[f][value][0] += n * (1 - soft[x[:3]])
     sums = [[sum(v[c] for v in f) for c in (0, 1)] for f in weight]
+    mass, total = sum(n * soft[x[:3]] for x, n in rows), sum(n for _, n in rows)
+    prior = (mass + 1) / (total + 2)  # among candidates, which are few of all words
     out = []
     for (x, _), c in zip(rows, sorted(counts)):
         odds = math.log(prior / (1 - prior)) + sum(math.log(weight[f][v][1] / sums[f][1]) - math.log(weight[f][v][0] / sums[f][0]) for f, v in enumerate(x))
-        if odds >= 0 and any(x[:3]):
+        if odds >= 0 and soft[x[:3]] >= 0.5:
             out.append(c)
     return out
 
@@ -187,12 +231,14 @@ def spans_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
     t = F.coalesce(F.col(text), F.lit(""))
     narrow = lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"))
     base = [F.transform(F.filter(matches(t, k), passing(k)), narrow) for k in KINDS[:4]]
-    more = F.transform(matches(t, "secret"), lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), combination(s["m"], s["before"]).alias("c")))
-    rows = docs.select(F.col(key).alias(key), F.sort_array(F.concat(*base)).alias("base"), more.alias("more"))
+    candidate = lambda kind: lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), combination(kind, s["m"], s["before"]).alias("c"))
+    more = F.concat(*(F.transform(matches(t, kind), candidate(kind)) for kind in ADDED))
+    words = (F.length(t) - F.length(F.translate(t, " \n", "")) + 1).cast("long")
+    rows = docs.select(F.col(key).alias(key), F.sort_array(F.concat(*base)).alias("base"), more.alias("more"), words.alias("words"))
     free = F.filter("more", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = cut(rows.select(key, "base", F.when(F.size("base") == 0, F.col("more")).otherwise(free).alias("more")))
-    counts = rows.select(F.explode("more.c").alias("c")).groupBy("c").count().collect()  # at most 288 rows
-    return rows, accepted({r["c"]: r["count"] for r in counts})
+    rows = cut(rows.select(key, "base", "words", F.when(F.size("base") == 0, F.col("more")).otherwise(free).alias("more")))
+    counts = rows.select(F.explode("more.c").alias("c")).groupBy("c").count().collect()  # at most 3 * 288 rows
+    return rows, accepted({r["c"]: r["count"] for r in counts}, rows.agg(F.sum("words")).first()[0] or 0)
 
 
 def all_spans(taken: list[int]) -> Column:
@@ -223,7 +269,8 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     _, taken = spans_of(docs, key, text)
     narrow = lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"))
     base = [F.transform(F.filter(matches(t, k), passing(k)), narrow) for k in KINDS[:4]]
-    more = F.transform(F.filter(matches(t, "secret"), lambda s: combination(s["m"], s["before"]).isin(taken) if taken else F.lit(False)), narrow)
+    wanted = lambda kind: lambda s: combination(kind, s["m"], s["before"]).isin(taken) if taken else F.lit(False)
+    more = F.concat(*(F.transform(F.filter(matches(t, kind), wanted(kind)), narrow) for kind in ADDED))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
     def rebuilt(spans: Column) -> Column:
