@@ -12,7 +12,9 @@
 4. The dual traversal drops pairs of nodes whose centres are further apart than both covering radii and the threshold
    distance together. It drops pairs of leaves in the driver; then only the blocks' top nodes, with their radii, are sent
    to pairs of blocks; then classes go to the pairs where their node is left, and each pair of blocks descends from
-   there to single classes, whose cosine decides. A pair of blocks gives counts and one spanning forest, not its links.
+   there to single classes, whose cosine decides. A block, and a pair of blocks, gives counts and one spanning forest,
+   not its links. Large products of nodes are looked through in single precision, with a margin for it, by radii rounded
+   up to the levels'; what is left is compared in double precision.
 
 Links are pairs with cosine of at least the threshold (in cases within 1e-12 of it by an exactly rounded sum); link
 counts include copies. Vectors of different lengths never link. Vectors that are null, zero or hold null or non-finite
@@ -38,6 +40,8 @@ SAMPLE, LEAVES, BLOCK = 2048, 256, 8192
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
 #: Pairs whose distances are computed at once.
 PAIRS = 1 << 16
+#: Radii are rounded up to these where a bound holds for many pairs at once.
+CLASSES = np.array([0.0, *RADII[::-1], 2.0])
 #: Distances come from products of unit vectors, which are exact to 1e-15; near zero their roots are to 1e-7.
 SLACK = 1e-6
 
@@ -173,34 +177,41 @@ def exact(a: np.ndarray, b: np.ndarray, threshold: float, dot: np.ndarray) -> np
     return near
 
 
+def candidates(va: np.ndarray, ra: np.ndarray, vb: np.ndarray, rb: np.ndarray, reach: float, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y) of all pairs whose bounds leave them, and of few others; of the same nodes those with y at or behind x's chunk."""
+    va, vb = (np.ascontiguousarray(v, np.float32) for v in (va, vb))
+    ca, cb = (np.searchsorted(CLASSES, np.minimum(r, 2.0)) for r in (ra, rb))
+    margin = 4e-7 * va.shape[1] + 1e-5  # more than single precision errs
+    for i in np.unique(ca):
+        for j in np.unique(cb):
+            ia, ib = np.flatnonzero(ca == i), np.flatnonzero(cb == j)
+            least, others = np.float32(1 - min(2.0, CLASSES[i] + CLASSES[j] + reach + SLACK) ** 2 / 2 - margin), vb[ib]
+            for at in range(0, len(ia), 128):
+                rows = ia[at : at + 128]
+                begin = int(np.searchsorted(ib, rows[0])) if same else 0
+                if begin < len(ib):
+                    found = np.flatnonzero((va[rows] @ others[begin:].T >= least).ravel())
+                    if len(found):
+                        yield rows[found // (len(ib) - begin)], ib[found % (len(ib) - begin) + begin]
+
+
 def dual(a: Tree, b: Tree, threshold: float, tried: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (x, y) of linked classes; each pair once where a is b. tried: gets the numbers of distances computed."""
+    """Places (x, y) of linked classes; each pair once where a is b. tried: gets the numbers of pairs looked at."""
     reach, last, same = math.sqrt(2 - 2 * threshold), len(a.starts) - 1, a is b
 
-    def alive(level: int, x: np.ndarray, y: np.ndarray, dot: np.ndarray) -> np.ndarray:
+    def alive(level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        dot = np.einsum("ij,ij->i", a.v[a.starts[level][x]], b.v[b.starts[level][y]])
         if level == last:
             return exact(a.v[x], b.v[y], threshold, dot) & (a.widths[x] == b.widths[y])
         return np.sqrt(np.maximum(0, 2 - 2 * dot)) <= a.radii[level][x] + b.radii[level][y] + reach + SLACK
 
     def dense(level: int, a0: int, a1: int, b0: int, b1: int):
-        """A large product, by matrices; of these only pairs near enough to be left are looked at one by one."""
-        va, vb = a.v[a.starts[level][a0:a1]], b.v[b.starts[level][b0:b1]]
-        ra, rb = a.radii[level][a0:a1], b.radii[level][b0:b1]
-        step = min(1024, max(1, 16 * PAIRS // (b1 - b0)))
-        for at in range(0, a1 - a0, step):
-            part = slice(at, at + step)
-            begin = at if same and a0 == b0 else 0  # what lies before is the same pair in the other order
-            dot = va[part] @ vb[begin:].T
-            least = threshold - 1e-12 if level == last else 1 - (ra[part, None] + rb[None, begin:] + reach + 2 * SLACK) ** 2 / 2
-            x, y = np.nonzero(dot >= least)
-            if tried is not None:
-                tried.append((level, dot.size))
-            yield x + a0 + at, y + b0 + begin, dot[x, y]
-
-    def single(level: int, x: np.ndarray, y: np.ndarray):
         if tried is not None:
-            tried.append((level, len(x)))
-        yield x, y, np.einsum("ij,ij->i", a.v[a.starts[level][x]], b.v[b.starts[level][y]])
+            tried.append((level, (a1 - a0) * (b1 - b0)))
+        own = same and a0 == b0
+        for x, y in candidates(a.v[a.starts[level][a0:a1]], a.radii[level][a0:a1], b.v[b.starts[level][b0:b1]], b.radii[level][b0:b1], reach, own):
+            for at in range(0, len(x), PAIRS):
+                yield x[at : at + PAIRS] + a0, y[at : at + PAIRS] + b0
 
     def products(level: int, a0, a1, b0, b1):
         t = (a1 - a0) * (b1 - b0)
@@ -210,16 +221,15 @@ def dual(a: Tree, b: Tree, threshold: float, tried: list | None = None) -> Itera
         part = np.cumsum(t[small]) // PAIRS
         for i in np.split(small, np.flatnonzero(np.diff(part)) + 1) if len(small) else []:
             x, y = product(a0[i], a1[i], b0[i], b1[i])
-            if same:
-                x, y = (z[(x < y) if level == last else (x <= y)] for z in (x, y))
-            if len(x):
-                yield from single(level, x, y)
+            if tried is not None:
+                tried.append((level, len(x)))
+            yield x, y
 
     def down(level: int, a0, a1, b0, b1):
-        for x, y, dot in products(level, a0, a1, b0, b1):
-            keep = alive(level, x, y, dot)
+        for x, y in products(level, a0, a1, b0, b1):
             if same:
-                keep &= (x < y) if level == last else (x <= y)
+                x, y = (z[(x < y) if level == last else (x <= y)] for z in (x, y))
+            keep = alive(level, x, y)
             x, y = x[keep], y[keep]
             if not len(x):
                 continue
@@ -300,36 +310,60 @@ def near_pairs(rows: DataFrame, threshold: float, key: str = "vec_id", vector: s
             own = first[leaf] + column(batch, "salt").to_numpy() % blocks[leaf]
             yield pa.RecordBatch.from_arrays([pa.array(own), *(column(batch, x) for x in ("v", "number", "n"))], names=["block", "v", "number", "n"])
 
+    def linked(trees: tuple[Tree, Tree], number: np.ndarray, n: np.ndarray) -> tuple[list, list, list]:
+        """Columns a, b and links: counts of classes have no b, edges of the spanning forest count nothing."""
+        links, root = np.zeros(len(number), np.int64), np.arange(len(number))
+        for x, y in dual(*trees, threshold):
+            x, y = trees[0].rows[x], trees[1].rows[y]
+            links += np.bincount(x, n[y], len(links)).astype(np.int64) + np.bincount(y, n[x], len(links)).astype(np.int64)
+            root = union(root, x, y)
+        some, moved = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(root)))
+        return [*number[some].tolist(), *number[moved].tolist()], [*[None] * len(some), *number[root[moved]].tolist()], [*links[some].tolist(), *[0] * len(moved)]
+
     def build(group: pa.Table) -> pa.Table:
-        path = paths(matrix(group.column("v").to_pylist(), width)[0])
-        return pa.table({"block": group.column("block"), "node": pa.array(path[:, 0]), "path": pa.array([p.tobytes() for p in path], pa.binary()), "v": group.column("v"), "number": group.column("number"), "n": group.column("n")})
+        """A block's classes with their paths, of top nodes' centres the covering radii; and the links inside the block."""
+        v, widths = matrix(group.column("v").to_pylist(), width)
+        number, n = (group.column(x).to_numpy() for x in ("number", "n"))
+        path = paths(v)
+        top = path[:, 0]
+        radius = np.full(len(v), -1.0)
+        np.maximum.at(radius, top, np.sqrt(np.maximum(0, 2 - 2 * (v * v[top]).sum(1))) * (top != np.arange(len(v))))
+        tree = Tree(v, widths, path, np.arange(len(v)))
+        a, b, links = linked((tree, tree), number, n)
+        rows, more = [None] * len(v), [None] * len(a)
+        return pa.table({
+            "block": pa.concat_arrays([*group.column("block").chunks, pa.array(more, pa.int64())]), "node": pa.array([*top.tolist(), *more], pa.int64()), "r": pa.array([*radius.tolist(), *more], pa.float64()), "path": pa.array([*(x.tobytes() for x in path), *more], pa.binary()),
+            "v": pa.concat_arrays([*group.column("v").chunks, pa.array(more, pa.binary())]), "number": pa.array([*number.tolist(), *more], pa.int64()), "n": pa.array([*n.tolist(), *more], pa.int64()), "a": pa.array([*rows, *a], pa.int64()), "b": pa.array([*rows, *b], pa.int64()), "links": pa.array([*rows, *links], pa.int64()),
+        })
+
+    n_blocks = int((first + blocks).max())
+    holds = np.zeros((len(centres), n_blocks), np.float32)  # leaf, block
+    for leaf in range(len(centres)):
+        holds[leaf, first[leaf] : first[leaf] + blocks[leaf]] = 1
 
     def deal(batches):
-        """Top nodes, by the classes that are their centres, to the pairs of blocks that their bounds leave."""
+        """Top nodes, by the classes that are their centres, to the pairs of blocks that their bounds leave; in single precision."""
+        step = max(1, min(2000, (1 << 22) // n_blocks))
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                distance = distances(matrix(column(batch, "v").to_pylist(), width)[0], centres)
-                leaf, own, r = distance.argmin(1), column(batch, "block").to_numpy(), column(batch, "r").to_numpy()
-                row, to = np.nonzero(distance <= leaf_r[None] + r[:, None] + reach + SLACK)
-                n = blocks[to]
-                row, to = np.repeat(row, n), np.repeat(first[to], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pair = np.unique(np.stack([np.minimum(own[row], to), np.maximum(own[row], to), row], 1)[own[row] != to], axis=0)
-                part = batch.take(pa.array(pair[:, 2]))
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), *(column(part, x) for x in ("block", "node", "r", "v"))], names=["p", "q", "block", "node", "r", "v"])
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                v = matrix(column(batch, "v").to_pylist(), width)[0]
+                distance, own, r = distances(v, centres), column(batch, "block").to_numpy(), column(batch, "r").to_numpy()
+                row, to = np.nonzero((distance <= leaf_r[None] + r[:, None] + reach + SLACK).astype(np.float32) @ holds > 0)
+                row, to = row[own[row] != to], to[own[row] != to]
+                short = [x.tobytes() for x in v.astype(np.float32)]
+                part = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[row], to)), pa.array(np.maximum(own[row], to)), column(part, "block"), column(part, "node"), column(part, "r"), pa.array(short, pa.binary()).take(pa.array(row))], names=["p", "q", "block", "node", "r", "v"])
 
     def meet(group: pa.Table) -> pa.Table:
         """Which top nodes of a pair of blocks are left, with both blocks."""
         p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
         block, node, r = (group.column(x).to_numpy() for x in ("block", "node", "r"))
-        v = matrix(group.column("v").to_pylist(), width)[0]
+        v = np.frombuffer(b"".join(group.column("v").to_pylist()), np.float32).reshape(-1, width)
         left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
         keep = np.zeros(len(block), bool)
-        for at in range(0, len(left), 1024) if len(right) else ():
-            some = left[at : at + 1024]
-            near = distances(v[some], v[right]) <= r[some, None] + r[right][None] + reach + SLACK
-            keep[some] |= near.any(1)
-            keep[right] |= near.any(0)
+        for x, y in candidates(v[left], r[left], v[right], r[right], reach):
+            keep[left[x]] = keep[right[y]] = True
         return pa.table({"p": pa.array(np.full(keep.sum(), p)), "q": pa.array(np.full(keep.sum(), q)), "at": pa.array(block[keep]), "top": pa.array(node[keep])})
 
     def compare(group: pa.Table) -> pa.Table:
@@ -337,34 +371,17 @@ def near_pairs(rows: DataFrame, threshold: float, key: str = "vec_id", vector: s
         block, number, n = (group.column(x).to_numpy() for x in ("block", "number", "n"))
         v, widths = matrix(group.column("v").to_pylist(), width)
         path = np.frombuffer(b"".join(group.column("path").to_pylist()), np.int64).reshape(-1, len(RADII))
-        sides = [np.flatnonzero(block == x) for x in ((p,) if p == q else (p, q))]
-        trees = [Tree(v[s], widths[s], path[s], s) for s in sides]
-        links, root = np.zeros(len(block), np.int64), np.arange(len(block))
-        for x, y in dual(trees[0], trees[-1], threshold):
-            x, y = trees[0].rows[x], trees[-1].rows[y]
-            links += np.bincount(x, n[y], len(links)).astype(np.int64) + np.bincount(y, n[x], len(links)).astype(np.int64)
-            root = union(root, x, y)
-        some, moved = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(root)))
-        nothing = [None] * len(some)
-        return pa.table({"a": pa.array([*number[some].tolist(), *number[moved].tolist()], pa.int64()), "b": pa.array([*nothing, *number[root[moved]].tolist()], pa.int64()), "links": pa.array([*links[some].tolist(), *[0] * len(moved)], pa.int64())})
+        trees = [Tree(v[s], widths[s], path[s], s) for s in (np.flatnonzero(block == x) for x in (p, q))]
+        return pa.table(dict(zip(("a", "b", "links"), (pa.array(x, pa.int64()) for x in linked(tuple(trees), number, n)))))
 
     dealt = classes.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(1 << 30))).mapInArrow(assign, "block long, v binary, number long, n long")
-    built = cut(dealt.groupBy("block").applyInArrow(build, "block long, node long, path binary, v binary, number long, n long"))
-
-    def radius(group: pa.Table) -> pa.Table:
-        """The top nodes of a block with their covering radii."""
-        v, widths = matrix(group.column("v").to_pylist(), width)
-        tree = Tree(v, widths, np.frombuffer(b"".join(group.column("path").to_pylist()), np.int64).reshape(-1, len(RADII)), np.arange(len(v)))
-        at = tree.rows[tree.starts[0]]
-        part = group.take(pa.array(at))
-        return pa.table({"block": part.column("block"), "node": part.column("node"), "r": pa.array(tree.radii[0]), "v": part.column("v")})
-
-    tops = built.groupBy("block").applyInArrow(radius, "block long, node long, r double, v binary")
+    built = cut(dealt.groupBy("block").applyInArrow(build, "block long, node long, r double, path binary, v binary, number long, n long, a long, b long, links long"))
+    within = built.where("a is not null").select("a", "b", "links")
+    tops = built.where("r >= 0").select("block", "node", "r", "v")
     pairs = tops.mapInArrow(deal, "p long, q long, block long, node long, r double, v binary")
     left = cut(pairs.groupBy("p", "q").applyInArrow(meet, "p long, q long, at long, top long"))
     wide = built.join(left, (F.col("block") == F.col("at")) & (F.col("node") == F.col("top"))).select("p", "q", "block", "path", "v", "number", "n")
-    alone = built.select(F.col("block").alias("p"), F.col("block").alias("q"), "block", "path", "v", "number", "n")
-    out = cut(alone.unionByName(wide).groupBy("p", "q").applyInArrow(compare, "a long, b long, links long"))
+    out = cut(within.unionByName(wide.groupBy("p", "q").applyInArrow(compare, "a long, b long, links long")))
     counts = out.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "counted")
     joined = classes.join(components(out.where("b is not null")), F.col("number") == F.col("node"), "left").join(counts, F.col("number") == F.col("counted"), "left")
     joined = joined.select("v", "name", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "number").alias("component"))
