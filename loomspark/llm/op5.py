@@ -10,9 +10,10 @@
    classes, and it splits where its own covering radius is larger than the level's. Each class keeps its path, the
    nodes that hold it; all levels below follow the data to the end, and none is cut off.
 4. The dual traversal drops pairs of nodes whose centres are further apart than both covering radii and the threshold
-   distance together. It drops pairs of leaves in the driver; then only the blocks' top nodes, with their radii, are sent
-   to pairs of blocks; then classes go to the pairs where their node is left, and each pair of blocks descends from
-   there to single classes, whose cosine decides. A block, and a pair of blocks, gives counts and one spanning forest,
+   distance together. It drops pairs of leaves in the driver; then of every block only the nodes of one
+   level, with their radii, are sent to pairs of blocks (the first whose radius is no more than the threshold distance);
+   then classes go to the pairs where their node is left, and each pair of blocks descends from its top to single
+   classes, whose cosine decides. A block, and a pair of blocks, gives counts and one spanning forest,
    not its links. Large products of nodes are looked through in single precision, with a margin for it, by radii rounded
    up to the levels'; what is left is compared in double precision.
 
@@ -321,11 +322,11 @@ def near_pairs(rows: DataFrame, threshold: float, key: str = "vec_id", vector: s
         return [*number[some].tolist(), *number[moved].tolist()], [*[None] * len(some), *number[root[moved]].tolist()], [*links[some].tolist(), *[0] * len(moved)]
 
     def build(group: pa.Table) -> pa.Table:
-        """A block's classes with their paths, of top nodes' centres the covering radii; and the links inside the block."""
+        """A block's classes with their paths, of centres of the level that is sent the covering radii; and the block's own links."""
         v, widths = matrix(group.column("v").to_pylist(), width)
         number, n = (group.column(x).to_numpy() for x in ("number", "n"))
         path = paths(v)
-        top = path[:, 0]
+        top = path[:, sent]
         radius = np.full(len(v), -1.0)
         np.maximum.at(radius, top, np.sqrt(np.maximum(0, 2 - 2 * (v * v[top]).sum(1))) * (top != np.arange(len(v))))
         tree = Tree(v, widths, path, np.arange(len(v)))
@@ -336,13 +337,15 @@ def near_pairs(rows: DataFrame, threshold: float, key: str = "vec_id", vector: s
             "v": pa.concat_arrays([*group.column("v").chunks, pa.array(more, pa.binary())]), "number": pa.array([*number.tolist(), *more], pa.int64()), "n": pa.array([*n.tolist(), *more], pa.int64()), "a": pa.array([*rows, *a], pa.int64()), "b": pa.array([*rows, *b], pa.int64()), "links": pa.array([*rows, *links], pa.int64()),
         })
 
+    # of the blocks' levels the first with nodes no wider than the links are long: wider ones meet nearly all others
+    sent = next((k for k, r in enumerate(RADII) if r <= reach), len(RADII) - 1)
     n_blocks = int((first + blocks).max())
     holds = np.zeros((len(centres), n_blocks), np.float32)  # leaf, block
     for leaf in range(len(centres)):
         holds[leaf, first[leaf] : first[leaf] + blocks[leaf]] = 1
 
     def deal(batches):
-        """Top nodes, by the classes that are their centres, to the pairs of blocks that their bounds leave; in single precision."""
+        """Nodes, by the classes that are their centres, to the pairs of blocks that their bounds leave; in single precision."""
         step = max(1, min(2000, (1 << 22) // n_blocks))
         for whole in batches:
             for at in range(0, whole.num_rows, step):
@@ -356,7 +359,7 @@ def near_pairs(rows: DataFrame, threshold: float, key: str = "vec_id", vector: s
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[row], to)), pa.array(np.maximum(own[row], to)), column(part, "block"), column(part, "node"), column(part, "r"), pa.array(short, pa.binary()).take(pa.array(row))], names=["p", "q", "block", "node", "r", "v"])
 
     def meet(group: pa.Table) -> pa.Table:
-        """Which top nodes of a pair of blocks are left, with both blocks."""
+        """Which nodes of a pair of blocks are left, with both blocks."""
         p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
         block, node, r = (group.column(x).to_numpy() for x in ("block", "node", "r"))
         v = np.frombuffer(b"".join(group.column("v").to_pylist()), np.float32).reshape(-1, width)
