@@ -7,6 +7,8 @@ import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,14 +132,51 @@ def forest(pairs: Iterable[tuple]) -> list[tuple]:
     return [(x, root(x)) for x in up if root(x) != x]
 
 
+def union(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``root`` with the sets of x and y united; root[i]: the smallest of i's set."""
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while len(np.flatnonzero(root != root[root])):
+            root = root[root]
+
+
+#: Links that a task joins at once before they are dealt.
+LINKS = 500_000
+
+
+def contracted(batches):
+    """Links (u, v) as stars: of each group that a task's links join, every member with the smallest one."""
+
+    def stars(parts):
+        ids, at = np.unique(np.concatenate(parts), return_inverse=True)
+        at = at.reshape(-1, 2)
+        root = union(np.arange(len(ids)), at[:, 0], at[:, 1])
+        moved = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["u", "v"])
+
+    kept, size = [], 0
+    for batch in batches:
+        kept.append(np.stack([batch.column(i).to_numpy() for i in (0, 1)], 1))
+        size += len(kept[-1])
+        if size >= LINKS:
+            yield stars(kept)
+            kept, size = [], 0
+    if kept:
+        yield stars(kept)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges``; a component's id is its smallest node.
 
-    Alternating large-star and small-star rounds on distributed edges: each round is two grouped minima and two joins
+    Every task first joins the links at hand into stars; then alternating large-star and small-star rounds on distributed edges: each round is two grouped minima and two joins
     on the node, a distinct, and a reliable checkpoint. The minima are dealt anew for their join, so that adaptive
     execution can split a hub's links. The number of rounds is about the logarithm of the longest chain; only one row of convergence sums reaches the driver.
     """
-    e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = cut(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().mapInArrow(contracted, "u long, v long"))
     before, k = None, anew(F.col("u")).alias("k")
     for _ in range(limit):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import anew, components, cut, table
+from .common import anew, components, cut, table, union
 
 SAMPLE, LEAVES, BLOCK = 2048, 256, 8192
 #: Levels of a block's tree.
@@ -244,18 +244,6 @@ def dual(a: Tree, b: Tree, threshold: float, tried: list | None = None) -> Itera
         yield from down(0, np.array([0]), np.array([len(a.starts[0])]), np.array([0]), np.array([len(b.starts[0])]))
 
 
-def union(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """``root`` with the sets of x and y united; root[i]: the smallest of i's set."""
-    while True:
-        a, b = root[x], root[y]
-        apart = a != b
-        if not apart.any():
-            return root
-        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-        while len(np.flatnonzero(root != root[root])):
-            root = root[root]
-
-
 def near_pairs(rows: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row per row of ``rows``: key, n_links, component_id and kept."""
     reach = math.sqrt(2 - 2 * threshold)

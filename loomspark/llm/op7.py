@@ -167,11 +167,11 @@ def links(classes: DataFrame, blocks: tuple | None = None) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def classes_of(marked: DataFrame, key: str = "doc_id", linked: DataFrame | None = None) -> DataFrame:
+def classes_of(marked: DataFrame, key: str = "doc_id", groups: DataFrame | None = None) -> DataFrame:
     """Checkpointed (f, name, n, component, alone) of each fingerprint: its smallest key, its rows, its component's
-    smallest fingerprint and whether nothing links with it. ``linked``: (a, b) in place of the links by differing bits."""
+    smallest fingerprint and whether nothing links with it. ``groups``: (node, component) in place of those by differing bits."""
     classes = cut(marked.groupBy("fp").agg(F.min(key).alias("name"), F.count("*").alias("n")))
-    found = classes.join(components(links(classes) if linked is None else linked), F.col("fp") == F.col("node"), "left")
+    found = classes.join(components(links(classes)) if groups is None else groups, F.col("fp") == F.col("node"), "left")
     return cut(found.select(F.col("fp").alias("f"), "name", "n", F.coalesce("component", "fp").alias("component"), F.col("node").isNull().alias("alone")))
 
 
@@ -197,7 +197,7 @@ def keep_one(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "
     """
     of = set_class if similarity else fingerprint
     marked = fingerprints(docs, words, key, text, of)
-    found = classes_of(marked, key, similar.links(docs, words, *similarity, text=text) if similarity else None)
+    found = classes_of(marked, key, similar.groups_of(docs, words, *similarity, text=text) if similarity else None)
     # of each component the class with its smallest key; ties by fingerprint
     first = found.groupBy("component").agg(F.min(F.struct(F.col("name").isNull(), "name", "f")).alias("x"))
     k, f, own, hit = (unused(docs, n) for n in ("chosen_key", "chosen_fp", "own_fp", "may_go"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.llm import op5
+from loomspark.llm import common, op5
 
 SCHEMA = "vec_id long, embedding array<double>, n_links int, component_id string, Kept string"
 
@@ -65,7 +65,7 @@ def test_table_against_brute_force(spark, monkeypatch, block, leaves):
     u = unit(v)
     near = u @ u.T >= 0.9
     np.fill_diagonal(near, False)
-    root = op5.union(np.arange(len(v)), *np.nonzero(near))
+    root = common.union(np.arange(len(v)), *np.nonzero(near))
     ids = np.random.default_rng(4).permutation(len(v)) * 3
     names = np.array([ids[root == r].min() for r in root])
     rows = [(int(i), x.tolist(), 1, "a", "b") for i, x in zip(ids, v)]
