@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,16 @@ def test_pipeline_stage_removes_copies_of_085(spark, tmp_path):
     assert 0.8 <= len(sets_of(" ".join(words)) & sets_of(" ".join(other))) / len(sets_of(" ".join(words)) | sets_of(" ".join(other))) < 0.88
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string").withColumn("lang", F.lit("en"))
     assert [x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()] == [1]
+
+
+def test_admitted_is_may_be():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 1 << 60, int(n))) for n in r.integers(1, 400, 60)] + [np.zeros(0, np.int64)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], r.integers(0, 1 << 60, len(s) // 12)])) for s in sets]
+    tables = [similar.parities(s) for s in sets]
+    x, y = np.nonzero(np.ones((len(sets), len(sets)), bool))
+    n = np.array([len(s) for s in sets])
+    got = similar.admitted(x, y, n[x], n[y], tables, 4, 5)
+    assert got.tolist() == [similar.may_be(tables[i], tables[j], int(n[i]), int(n[j]), 4, 5) for i, j in zip(x, y)]
+    alike = [5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])) for i, j in zip(x, y)]
+    assert got[alike].all() and 60 < sum(alike) and not got.all()
