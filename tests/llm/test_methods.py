@@ -63,7 +63,11 @@ def test_marginals_by_enumeration():
 def test_token_files(spark, tmp_path):
     texts = [(i % 7 if i % 5 else None, f"{'common words of text ' * (i % 40)}{i} é") for i in range(60)]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
-    op10.write_ids(df, f"{tmp_path}/a", P.path("byte_bpe_50k.json"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        op10.write_ids(df, f"{tmp_path}/a", P.path("byte_bpe_50k.json"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert spark.read.parquet(f"{tmp_path}/a").count() >= 2
     own, at = remembered(P.path("byte_bpe_50k.json"), "byte"), 0
     rows = op10.read_documents(spark, f"{tmp_path}/a").orderBy("start").collect()
