@@ -189,7 +189,8 @@ def keep_one(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "
     """One row of ``docs`` of each component: its smallest key's, of rows that repeat it the smallest fingerprint's.
 
     A component whose keys are all null keeps one of its rows. ``similarity``: two integers whose ratio is the least
-    Jaccard similarity of linked sets of shingles, in place of fingerprints and their differing bits.
+    Jaccard similarity of linked sets of shingles, in place of four differing bits: what fingerprints and anchors join is
+    then confirmed by whole sets, and the links that four bits leave apart are found exactly (``similar``).
 
     Whole rows are shuffled only where they may go: keys of rows that share their component with others set bits of a
     table of bounded size, and rows without a set bit stay as they are. With more such keys than the table holds more
@@ -197,7 +198,7 @@ def keep_one(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "
     """
     of = set_class if similarity else fingerprint
     marked = fingerprints(docs, words, key, text, of)
-    found = classes_of(marked, key, similar.groups_of(docs, words, *similarity, text=text) if similarity else None)
+    found = classes_of(marked, key, similar.groups_of(docs, lambda prints: components(links(prints)), words, *similarity, text=text) if similarity else None)
     # of each component the class with its smallest key; ties by fingerprint
     first = found.groupBy("component").agg(F.min(F.struct(F.col("name").isNull(), "name", "f")).alias("x"))
     k, f, own, hit = (unused(docs, n) for n in ("chosen_key", "chosen_fp", "own_fp", "may_go"))

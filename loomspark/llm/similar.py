@@ -3,20 +3,24 @@
 Shingles are runs of ``words`` lower-cased words, compared by XXH64 with seed 42; a shorter text is one shingle. Equal
 sets are one class, named by a hash of the sorted set; null and empty texts are the class of the empty set.
 
-Candidates by prefix filter: of shingles in one order for all sets, sets of such a similarity share one of their first
+Candidates by SimHash: classes whose fingerprints the given search joins are looked at along their list by fingerprint,
+each with its ``WINDOW`` next ones. Sets of a similarity of 0.8 often differ in ten bits, so the pairs that this leaves
+are found exactly, by prefix filter: of shingles in one order for all sets, sets of such a similarity share one of their first
 n - ceil(n * num / den) + 1. Frequent shingles come last, so that few sets meet at them; which ones count as frequent is
 estimated on every ``EVERY``-th text and changes the work only, not the result. Sizes and places of a shared shingle
 bound the overlap from above and rule out more, as do parities: two sets differ in at least as many shingles as in bits
 of a table that every shingle flips one bit of. Candidates are confirmed by their whole sets.
 
-A shingle's sets are compared in two passes: each with its ``WINDOW`` next ones; then, at shingles of more sets, all
-that the confirmed links leave in different components, dealt to pairs of tiles, where parities are looked at before a
+A shingle's sets are compared in two passes: each with its ``WINDOW`` next ones, confirmed together with the candidates by
+SimHash; then, at shingles of more sets, all that the confirmed links leave in different components, dealt to pairs of tiles, where parities are looked at before a
 pair leaves its task. So a large group of near copies is
 joined by its neighbours, and not by all of its pairs. Links of the second pass join components of the first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -54,6 +58,35 @@ def class_of(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), 42)
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of 64-bit hashes, unsigned: a bit is set if it is in over half of them."""
+    totals = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 50_000):
+        totals += np.unpackbits(hashes[at : at + 50_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * totals > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def chained(listed: DataFrame) -> DataFrame:
+    """(a, b), a < b: each class with its ``WINDOW`` next ones of the same group. listed: (g, fp, c).
+
+    The list is cut by ranges, so a large group takes many tasks; pairs across two of them are not given.
+    """
+
+    def run(batches):
+        last = np.zeros((0, 2), np.int64)
+        for batch in batches:
+            rows = np.concatenate([last, np.stack([batch.column(i).to_numpy() for i in (0, 2)], 1)])
+            pairs = [np.zeros((0, 2), np.int64)]
+            for d in range(1, WINDOW + 1):
+                i = np.arange(max(0, len(last) - d), len(rows) - d)
+                i = i[rows[i, 0] == rows[i + d, 0]]
+                pairs.append(np.sort(np.stack([rows[i, 1], rows[i + d, 1]], 1), axis=1))
+            yield as_batch(np.concatenate(pairs), ["a", "b"])
+            last = rows[-WINDOW:]
+
+    return listed.repartitionByRange("g", "fp", "c").sortWithinPartitions("g", "fp", "c").mapInArrow(run, "a long, b long")
+
+
 def parities(own: np.ndarray) -> bytes:
     """A bit for each residue of the set's shingles: whether their number is odd. At least two bits per shingle, a power of two."""
     size = max(64, 1 << (2 * len(own) - 1).bit_length())
@@ -198,19 +231,22 @@ def confirmed(docs: DataFrame, tables: DataFrame, pairs: DataFrame, words: int,
     return cut(both.mapInArrow(check, "a long, b long"))
 
 
-def groups_of(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, text: str = "text") -> DataFrame:
-    """(node, component) of every class that links with another: connected by similarities of ``num`` / ``den`` or more."""
+def groups_of(docs: DataFrame, joined_prints: Callable[[DataFrame], DataFrame], words: int = 5, num: int = 4, den: int = 5, text: str = "text") -> DataFrame:
+    """(node, component) of every class that links with another: connected by similarities of ``num`` / ``den`` or more.
+
+    joined_prints: gives (node, component) of distinct fingerprints (fp) that link with others.
+    """
     often, rank, sets = frequent(docs, words, text)
     tiles = np.maximum(1, -(-sets // TILE))
 
     def prefixes(batches):
         for batch in batches:
-            names, sizes, own, odd = [], [], [], []
+            names, sizes, own, odd, prints = [], [], [], [], []
 
             def out():
                 ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
                 values = np.concatenate(own) if own else np.zeros(0, np.int64)
-                return pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(odd, pa.binary())], names=["c", "size", "first", "odd"])
+                return pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(odd, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["c", "size", "first", "odd", "fp"])
 
             for (t,) in arrow_rows(batch, "t"):
                 s = shingles(t, words)
@@ -218,9 +254,10 @@ def groups_of(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, text:
                 sizes.append(len(s))
                 own.append(first_ones(s, often, rank, num, den))
                 odd.append(parities(s))
+                prints.append(fingerprint_of(s))
                 if len(own) >= 1024:
                     yield out()
-                    names, sizes, own, odd = [], [], [], []
+                    names, sizes, own, odd, prints = [], [], [], [], []
             yield out()
 
     def deal(batches):
@@ -253,11 +290,15 @@ def groups_of(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, text:
                 yield as_batch(rows[more], ["a", "b", "c", "size", "place"])
 
     texts = docs.select(F.col(text).alias("t"))
-    first = cut(texts.mapInArrow(prefixes, "c long, size int, first array<long>, odd binary").dropDuplicates(["c"]))
+    first = cut(texts.mapInArrow(prefixes, "c long, size int, first array<long>, odd binary, fp long").dropDuplicates(["c"]))
+    found = joined_prints(first.select("fp").distinct())
+    listed = first.select("c", "fp").join(found, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("g"), "fp", "c")
+    alike = cut(chained(listed))
     rows = first.select("c", "size", F.posexplode("first").alias("place", "s")).select("s", "c", "size", "place")
     dealt = rows.mapInArrow(deal, "s long, tile long, c long, size long, place long").select("s", F.col("tile").cast("int"), "c", F.col("size").cast("int"), F.col("place").cast("int"))
     met = cut(dealt.repartition("s", "tile").sortWithinPartitions("s", "tile", "c").mapInArrow(neighbours, "a long, b long, c long, size long, place long").distinct())
-    near = confirmed(docs, first, met.where("size = 0").select("a", "b"), words, num, den, text)
+    tried = met.where("size = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(alike).distinct()
+    near = confirmed(docs, first, tried, words, num, den, text)
 
     # shingles of more sets, as far as these lie in different components
     more = met.where("size > 0").select(F.col("a").alias("s"), "c", "size", "place")
@@ -307,7 +348,6 @@ def groups_of(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, text:
     rest = rest.withColumn("tile", tile).select("s", "c", "size", "place", "of", "odd", "tile", "tiles", before).select("*", other)
     pair = F.least("tile", "other") * F.lit(1 << 24).cast("long") + F.greatest("tile", "other")
     rest = rest.select("s", pair.alias("pair"), "c", "size", "place", "of", "odd", "before").repartition("s", "pair").sortWithinPartitions("s", "pair", "c")
-    tried = met.where("size = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = cut(rest.mapInArrow(across, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
     if found.isEmpty():
         return own

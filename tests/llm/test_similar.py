@@ -68,6 +68,45 @@ def test_pipeline_stage_removes_copies_of_085(spark, tmp_path):
     assert [x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()] == [1]
 
 
+def test_keep_one_finds_copies_by_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(similar, "possible", lambda rows, other, num, den: np.zeros(len(rows), bool))  # the prefix filter gives nothing
+    r = random.Random(3)
+    rows = []
+    for i in range(6):
+        words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join([*words, "end"])), (3 * i + 2, " ".join([*words[:200], *words[:100]]))]
+    sets = [np.array(sorted(similar.shingles(t, 5))) for _, t in rows]
+    prints = [similar.fingerprint_of(s) for s in sets]
+    assert all((prints[i] ^ prints[i + 1]).bit_count() <= op7.BITS for i in range(0, 18, 3))
+    assert all(len(np.intersect1d(sets[i], sets[i + 2])) * 5 < 4 * len(np.union1d(sets[i], sets[i + 2])) for i in range(0, 18, 3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id for x in op7.keep_one(docs, words=5, similarity=(4, 5)).collect()}
+    assert got == {i for i in range(18) if i % 3 != 1}
+
+
+def test_chained_joins_each_group(spark, monkeypatch):
+    rows = [(i % 7 if i < 300 else i, i * 37 % 11, i) for i in range(320)]
+    listed = spark.createDataFrame(rows, "g long, fp long, c long").repartition(3)
+    monkeypatch.setattr(similar, "WINDOW", 2)
+    for size in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            pairs = similar.chained(listed).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        group = {c: g for g, _, c in rows}
+        assert all(p.a < p.b and group[p.a] == group[p.b] for p in pairs) and len(pairs) == len(set(pairs))
+        assert 7 * (43 + 42 - 2) - 12 * 3 <= len(pairs) <= sum(2 * n - 3 for n in [43] * 6 + [42])
+
+
+def test_fingerprint_of():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 2, 7, 60_001):
+        h = r.integers(0, 1 << 63, n).astype(np.int64)
+        bits = [2 * int((h >> b & 1).sum()) > n for b in range(64)]
+        assert similar.fingerprint_of(h) == sum(1 << b for b in range(64) if bits[b])
+
+
 def test_admitted_is_may_be():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 1 << 60, int(n))) for n in r.integers(1, 400, 60)] + [np.zeros(0, np.int64)]
