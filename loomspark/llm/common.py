@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -56,6 +57,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files that nothing refers to any more, which it does only once the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever store it lies."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, components, cut
+from .common import arrow_rows, components, cut, release
 
 EVERY, OFTEN, MOST = 8, 2, 200_000
 WINDOW, TILE = 2, 2048
@@ -291,14 +291,18 @@ def groups_of(docs: DataFrame, joined_prints: Callable[[DataFrame], DataFrame],
 
     texts = docs.select(F.col(text).alias("t"))
     first = cut(texts.mapInArrow(prefixes, "c long, size int, first array<long>, odd binary, fp long").dropDuplicates(["c"]))
+    release(docs.sparkSession)
     found = joined_prints(first.select("fp").distinct())
     listed = first.select("c", "fp").join(found, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("g"), "fp", "c")
     alike = cut(chained(listed))
+    release(docs.sparkSession)
     rows = first.select("c", "size", F.posexplode("first").alias("place", "s")).select("s", "c", "size", "place")
     dealt = rows.mapInArrow(deal, "s long, tile long, c long, size long, place long").select("s", F.col("tile").cast("int"), "c", F.col("size").cast("int"), F.col("place").cast("int"))
     met = cut(dealt.repartition("s", "tile").sortWithinPartitions("s", "tile", "c").mapInArrow(neighbours, "a long, b long, c long, size long, place long").distinct())
+    release(docs.sparkSession)
     tried = met.where("size = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(alike).distinct()
     near = confirmed(docs, first, tried, words, num, den, text)
+    release(docs.sparkSession)
 
     # shingles of more sets, as far as these lie in different components
     more = met.where("size > 0").select(F.col("a").alias("s"), "c", "size", "place")

@@ -1,11 +1,12 @@
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomspark.llm import op7, similar
+from loomspark.llm import common, op7, similar
 
 
 def texts():
@@ -118,3 +119,24 @@ def test_admitted_is_may_be():
     assert got.tolist() == [similar.may_be(tables[i], tables[j], int(n[i]), int(n[j]), 4, 5) for i, j in zip(x, y)]
     alike = [5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])) for i, j in zip(x, y)]
     assert got[alike].all() and 60 < sum(alike) and not got.all()
+
+
+def test_release_removes_shuffle_files(spark, monkeypatch):
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    called = []
+    monkeypatch.setattr(similar, "release", lambda s: called.append(common.release(s)))
+    rows = [(i, f"{i} " + "some words that are the same in all of the texts " * 3) for i in range(20)]
+    op7.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), words=5, similarity=(4, 5)).count()
+    assert called
+    common.release(spark)
+    time.sleep(3)
+    for i in range(3):
+        common.cut(spark.range(50).repartition(5 + i).groupBy("id").count())
+    before, end = files(), time.time() + 30
+    assert before
+    common.release(spark)
+    while files() >= before and time.time() < end:
+        time.sleep(0.5)
+    assert files() < before
