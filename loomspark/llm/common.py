@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -180,23 +181,39 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) ->
     """(node, component) for every node of ``edges``; a component's id is its smallest node.
 
     Every task first joins the links at hand into stars; then alternating large-star and small-star rounds on distributed edges: each round is two grouped minima and two joins
-    on the node, a distinct, and a reliable checkpoint. The minima are dealt anew for their join, so that adaptive
+    on the node and a distinct. The minima are dealt anew for their join, so that adaptive
     execution can split a hub's links. The number of rounds is about the logarithm of the longest chain; only one row of convergence sums reaches the driver.
+
+    Rounds are kept as Parquet in the shared folder until the next is written, not as checkpoints: these inherit Spark's
+    estimate of their size, to which each join multiplies, so that a round took it to the fourth power and the driver's
+    memory went to numbers of millions of digits. Files are estimated by their size.
     """
-    e = cut(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().mapInArrow(contracted, "u long, v long"))
-    before, k = None, anew(F.col("u")).alias("k")
-    for _ in range(limit):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(k, F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(k, "m")
-        joined = large.join(low, F.col("u") == F.col("k"))
-        small = joined.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        e = cut(small)
-        now = tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(38,0)))")).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not converge")
+    spark = edges.sparkSession
+    folder, before, k = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}", None, anew(F.col("u")).alias("k")
+
+    def stored(links: DataFrame, number: int) -> DataFrame:
+        links.write.parquet(f"{folder}/{number}")
+        if number:
+            remove(spark, f"{folder}/{number - 1}")
+        return spark.read.schema("u long, v long").parquet(f"{folder}/{number}")
+
+    try:
+        e = stored(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().mapInArrow(contracted, "u long, v long"), 0)
+        for number in range(1, limit + 1):
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select(k, F.least("u", "m").alias("m"))
+            large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m")).select(k, "m")
+            joined = large.join(low, F.col("u") == F.col("k"))
+            small = joined.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+            e = stored(small, number)
+            now = tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(38,0)))")).first())
+            if now == before:
+                break
+            before = now
+        else:
+            raise RuntimeError("components did not converge")
+        e = cut(e)
+    finally:
+        remove(spark, folder)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,3 +1,4 @@
+import os
 import random
 import time
 
@@ -140,3 +141,17 @@ def test_release_removes_shuffle_files(spark, monkeypatch):
     while files() >= before and time.time() < end:
         time.sleep(0.5)
     assert files() < before
+
+
+def test_components_estimates_stay_small(spark):
+    """Estimates of size, to which joins multiply, are not carried from round to round; nor do rounds leave files."""
+    ids = list(range(3000))
+    random.Random(4).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long").repartition(8)
+    got = common.components(edges)
+    assert len(str(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 20
+    assert {tuple(r) for r in got.collect()} == {(i, 0) for i in ids}
+    folder = common.shared_dir(spark).removeprefix("file:")
+    assert not [x for x in os.listdir(folder) if x.startswith("components-")]
+    none = common.components(edges.where("a < 0"))
+    assert none.columns == ["node", "component"] and none.count() == 0
