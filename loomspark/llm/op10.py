@@ -41,6 +41,7 @@ BLOCK = 2048
 GROUP = 3_000_000
 SLOTS = 1 << 10
 STEP, MOST = 24, 1 << 12  # of a digit's adaptive counts
+ONES = 0x0001000100010001
 
 _squash = np.array([int(4096 / (1 + np.exp(-x / 256.0))) for x in range(-2048, 2048)], np.int64).clip(32, 4064)
 _stretch = np.searchsorted(_squash, np.arange(4096)).clip(1, 4095).astype(np.int64) - 2048
@@ -63,16 +64,16 @@ class Coder:
     def narrow(self, lane: np.ndarray, r: np.ndarray, lo: np.ndarray, f: np.ndarray) -> None:
         """Keeps [lo, lo + f) of the range in units of r."""
         if self.words is None:
-            low = self.low[lane] + r * lo
-            if len(over := np.flatnonzero(low >> 32)):
+            low = self.low.take(lane) + r * lo
+            if len(over := (low >> 32).nonzero()[0]):
                 self.out[lane[over], self.at[lane[over]] - 1] += 1
                 low &= 0xFFFFFFFF
         else:
-            low = self.low[lane] - r * lo
+            low = self.low.take(lane) - r * lo
         span = r * f
-        if len(small := np.flatnonzero(span < 1 << 16)):
-            where, part = lane[small], low[small]
-            at = self.at[where]
+        if len(small := (span < 1 << 16).nonzero()[0]):
+            where, part = lane.take(small), low.take(small)
+            at = self.at.take(where)
             if self.words is None:
                 if int(at.max()) + 4 >= self.out.shape[1]:
                     self.out = np.concatenate([self.out, np.zeros_like(self.out)], 1)
@@ -86,26 +87,45 @@ class Coder:
 
     def bit(self, lane: np.ndarray, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
         """p: of a set bit, in 4096ths."""
-        r = self.range[lane] >> 12
+        r = self.range.take(lane) >> 12
         if bit is None:
-            bit = self.low[lane] < r * p
+            bit = self.low.take(lane) < r * p
         self.narrow(lane, r, np.where(bit, 0, p), np.where(bit, p, 4096 - p))
         return bit
 
     def digit(self, lane: np.ndarray, counts: np.ndarray, row: np.ndarray, digit: np.ndarray | None) -> np.ndarray:
-        """One of 16; counts: rows of 16, which adapt."""
-        own = counts[row]
-        cum = own.cumsum(1, dtype=np.int64)
-        total = cum[:, 15]
-        r = self.range[lane] // total
+        """One of 16; counts: rows of 16, which adapt, as four words of four 16-bit numbers, the first one lowest.
+
+        A word times ``ONES`` holds the sums of its numbers from the first on, since none is beyond ``MOST``."""
+        own, each, n = counts.take(row, 0), np.arange(len(row)), len(row)
+        sums = own * ONES
+        ends = np.empty((4, n), np.int64)
+        np.right_shift(sums.T, 48, out=ends)
+        for k in (1, 2, 3):
+            ends[k] += ends[k - 1]
+        total = ends[3]
+        r = self.range.take(lane) // total
         if digit is None:
-            digit = (cum <= np.minimum(self.low[lane] // r, total - 1)[:, None]).sum(1)
-        each = np.arange(len(lane))
-        f = own[each, digit].astype(np.int64)
-        self.narrow(lane, r, cum[each, digit] - f, f)
-        counts[row, digit] += STEP
-        if len(full := np.flatnonzero(total > MOST - STEP)):
-            counts[row[full]] = counts[row[full]] + 1 >> 1
+            goal = np.minimum(self.low.take(lane) // r, total - 1)
+            word = (ends[:3] <= goal).sum(0)
+        else:
+            word = digit >> 2
+        place = each * 4 + word
+        before = np.where(word > 0, ends.reshape(-1).take((word - 1) * n + each), 0)
+        sums = sums.reshape(-1).take(place)
+        if digit is None:
+            goal -= before
+            inside = ((sums & 0xFFFF) <= goal).astype(np.int64) + ((sums >> 16 & 0xFFFF) <= goal) + ((sums >> 32 & 0xFFFF) <= goal)
+            digit = word * 4 + inside
+        else:
+            inside = digit & 3
+        shift = inside * 16
+        f = own.reshape(-1).take(place) >> shift & 0xFFFF
+        self.narrow(lane, r, before + (sums >> shift & 0xFFFF) - f, f)
+        counts.reshape(-1)[row * 4 + word] += STEP << shift
+        if len(full := (total > MOST - STEP).nonzero()[0]):
+            numbers, rows = counts.view(np.int16), row.take(full)
+            numbers[rows] = numbers[rows] + 1 >> 1
         return digit
 
     def finish(self) -> list[np.ndarray]:
@@ -132,13 +152,13 @@ class Mixer:
     def code(self, coder: Coder, lane: np.ndarray, contexts: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
         """contexts: a row of four, each below 8."""
         place = (lane * 32)[:, None] + _inputs + contexts
-        flat, w = self.p.reshape(-1), self.w[lane]
-        x = flat[place]
-        s = _stretch[x]
-        p = _squash[((s * w).sum(1) >> 16).clip(-2048, 2047) + 2048]
+        flat, w = self.p.reshape(-1), self.w.take(lane, 0)
+        x = flat.take(place)
+        s = _stretch.take(x)
+        p = _squash.take(np.minimum(np.maximum(np.einsum("ij,ij->i", s, w) >> 16, -2048), 2047) + 2048)
         bit = coder.bit(lane, p, bit)
         goal = bit.astype(np.int64) * 4095
-        self.w[lane] = (w + (s * (goal - p)[:, None] >> 9)).clip(-(1 << 18), 1 << 18)
+        self.w[lane] = np.minimum(np.maximum(w + (s * (goal - p)[:, None] >> 9), -(1 << 18)), 1 << 18)
         flat[place] = x + (goal[:, None] - x >> 4)
         return bit
 
@@ -150,32 +170,34 @@ def _code(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None)
     """Encodes ids[lane, step], or decodes; the same model drives both."""
     lanes, coder = len(lengths), Coder(len(lengths), words)
     two, one = Mixer(lanes), Mixer(lanes)
-    next2, next1 = np.full((lanes, SLOTS), -1, np.int32), np.full((lanes, SLOTS), -1, np.int32)
-    sure2, sure1 = np.zeros((lanes, SLOTS), np.int8), np.zeros((lanes, SLOTS), np.int8)
-    often = np.zeros((lanes, SLOTS), np.int16)  # order 0: how often ids of a slot came
-    digits = np.ones((lanes, 1 + 16 + 256 + 256, 16), np.int16).reshape(lanes * 529, 16)
-    out = np.zeros((lanes, int(lengths.max())), np.int64) if ids is None else None
+    next2, next1 = np.full(lanes * SLOTS, -1, np.int32), np.full(lanes * SLOTS, -1, np.int32)
+    sure2, sure1 = np.zeros(lanes * SLOTS, np.int8), np.zeros(lanes * SLOTS, np.int8)
+    often = np.zeros(lanes * SLOTS, np.int16)  # order 0: how often ids of a slot came
+    digits = np.full((lanes * (1 + 16 + 256 + 256), 4), ONES, np.int64)
+    steps = None if ids is None else np.ascontiguousarray(ids.T)
+    out = np.zeros((int(lengths.max()), lanes), np.int64) if ids is None else None
     a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for step in range(int(lengths.max())):
-        lane = np.flatnonzero(lengths > step)
-        known = None if ids is None else ids[lane, step]
-        h1 = b[lane] * 40503 >> 4 & SLOTS - 1
-        h2 = (a[lane] * 2654435761 + b[lane] * 40503 >> 5) & SLOTS - 1
-        c2, c1 = next2[lane, h2].astype(np.int64), next1[lane, h1].astype(np.int64)
-        s2, s1 = sure2[lane, h2].astype(np.int64), sure1[lane, h1].astype(np.int64)
+        lane = (lengths > step).nonzero()[0]
+        known = None if ids is None else steps[step].take(lane)
+        before, slots = b.take(lane), lane * SLOTS
+        h1 = slots + (before * 40503 >> 4 & SLOTS - 1)
+        h2 = slots + (a.take(lane) * 2654435761 + before * 40503 >> 5 & SLOTS - 1)
+        c2, c1 = next2.take(h2).astype(np.int64), next1.take(h1).astype(np.int64)
+        s2, s1 = sure2.take(h2).astype(np.int64), sure1.take(h1).astype(np.int64)
         found = np.full(len(lane), -1, np.int64)
         for mixer, c, may in ((two, c2, c2 >= 0), (one, c1, (c1 >= 0) & (c1 != c2))):
-            if len(ask := np.flatnonzero(may & (found < 0))):
-                on, own = lane[ask], c[ask]
+            if len(ask := (may & (found < 0)).nonzero()[0]):
+                on, own = lane.take(ask), c.take(ask)
                 contexts = np.zeros((len(ask), 4), np.int64)
-                contexts[:, 0] = np.where(own == c2[ask], s2[ask] + 1, 0)
-                contexts[:, 1] = np.where(own == c1[ask], s1[ask] + 1, 0)
-                contexts[:, 2] = _rarity[(often[on, own & SLOTS - 1].astype(np.int64) << 11) // (step + 1)]
-                right = mixer.code(coder, on, contexts, None if known is None else known[ask] == own)
+                contexts[:, 0] = np.where(own == c2.take(ask), s2.take(ask) + 1, 0)
+                contexts[:, 1] = np.where(own == c1.take(ask), s1.take(ask) + 1, 0)
+                contexts[:, 2] = _rarity.take((often.take(slots.take(ask) + (own & SLOTS - 1)).astype(np.int64) << 11) // (step + 1))
+                right = mixer.code(coder, on, contexts, None if known is None else known.take(ask) == own)
                 found[ask[right]] = own[right]
-        if len(rest := np.flatnonzero(found < 0)):
-            on = lane[rest]
-            base, own = on * 529, None if known is None else known[rest]
+        if len(rest := (found < 0).nonzero()[0]):
+            on = lane.take(rest)
+            base, own = on * 529, None if known is None else known.take(rest)
             d = [None] * 4 if own is None else [own >> k & 15 for k in (12, 8, 4, 0)]
             d0 = coder.digit(on, digits, base, d[0])
             d1 = coder.digit(on, digits, base + 1 + d0, d[1])
@@ -185,13 +207,14 @@ def _code(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None)
         for table_, sure, h, c, s in ((next2, sure2, h2, c2, s2), (next1, sure1, h1, c1, s1)):
             right = c == found
             swap = ~right & (s == 0)
-            table_[lane[swap], h[swap]] = found[swap]
-            sure[lane, h] = np.where(right, np.minimum(s + 1, 3), np.maximum(s - 1, 0) * ~swap)
-        often[lane, found & SLOTS - 1] += 1
-        a[lane], b[lane] = b[lane], found
+            moved = swap.nonzero()[0]
+            table_[h.take(moved)] = found.take(moved)
+            sure[h] = np.where(right, np.minimum(s + 1, 3), np.maximum(s - 1, 0) * ~swap)
+        often[slots + (found & SLOTS - 1)] += 1
+        a[lane], b[lane] = before, found
         if out is not None:
-            out[lane, step] = found
-    return coder.finish() if words is None else out
+            out[step, lane] = found
+    return coder.finish() if words is None else out.T
 
 
 #: Share of an id's slot so far, in 2048ths -> context: its order of magnitude.

@@ -132,3 +132,23 @@ def test_pairs_of_entries_are_judged_without_merging_them():
     own.merged = None
     assert all(own.fits(a, b) == x for (a, b), x in slow.items())
     assert np.frombuffer(own.encode("unheardofcompositions\nof  letters\t"), "<u4").size > 3
+
+
+def test_digits_adapt_as_sixteen_counts():
+    """Four counts in a word are counted, halved and summed as sixteen plain ones, and the decoder finds the digits."""
+    lanes, steps = 3, 700
+    digits = np.random.default_rng(6).zipf(1.4, (steps, lanes)) % 16
+    plain, lane = np.ones((lanes, 16), np.int64), np.arange(lanes)
+    coder, counts = op10.Coder(lanes), np.full((lanes, 4), op10.ONES, np.int64)
+    for row in digits:
+        coder.digit(lane, counts, lane, row)
+        full = plain.sum(1) > op10.MOST - op10.STEP
+        plain[lane, row] += op10.STEP
+        plain[full] = plain[full] + 1 >> 1
+        assert (counts.view(np.int16) == plain).all()
+    words = coder.finish()
+    grid = np.zeros((lanes, max(map(len, words)) + 4), np.int64)
+    for k, w in enumerate(words):
+        grid[k, : len(w)] = w
+    coder, counts = op10.Coder(lanes, grid), np.full((lanes, 4), op10.ONES, np.int64)
+    assert all((coder.digit(lane, counts, lane, None) == row).all() for row in digits)
