@@ -45,6 +45,11 @@ def lowered(text: str) -> str:
     return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
 
 
+def unassigned(text: str) -> bool:
+    """Whether a character is unassigned: on these pattern engines differ."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text)
+
+
 class Known(dict):
     """Ids by pre-token; those of short ones are remembered."""
 
@@ -79,24 +84,32 @@ class Remembered:
             self.run.normalizer = normalizers.Sequence([])  # runs are in normal form when they are cut
         self.model, self.split = self.whole.model, regex.compile(WORDS if self.words else BYTES).findall
         self.shown = {b: c for c, b in byte_letters().items()}
-        self.pieces = Known(self.encode_piece)
+        self.pieces = {} if self.words else Known(self.encode_piece)
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def merge(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode_piece(self, piece: str) -> bytes:
         """KeyError: a text with this pre-token is encoded as a whole."""
-        # on unassigned characters pattern engines differ
-        if piece != "\n" and self.odd.search(piece) or not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece):
+        if piece != "\n" and self.odd.search(piece) or unassigned(piece):
             raise KeyError(piece)
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self.merge(piece)
+
+    def encode_word(self, piece: str) -> bytes:
+        if (got := self.pieces.get(piece)) is None:
+            if len(self.pieces) > MOST:
+                self.pieces.clear()
+            got = self.pieces[piece] = self.merge(piece)
+        return got
 
     def encode_run(self, run: str) -> bytes:
-        try:
-            return b"".join(map(self.pieces.__getitem__, self.split(run)))
-        except KeyError:
+        if unassigned(run):
             return np.array(self.run.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.encode_word, self.split(run)))
 
     def joined(self, runs: list[str]) -> bytes:
         """Ids of runs in a row."""
