@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -64,6 +65,15 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives what this process has freed back to the system: Arrow's pool, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever store it lies."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,25 +4,30 @@ The word vocabulary splits a text before it merges, and always between a non-spa
 So the ids of a text are the ids of its runs between white space in a row, and a run that was seen before need not be
 encoded again. Byte-level vocabularies split by a pattern, and the ids of a text are those of its pre-tokens in a row.
 The library encodes every unseen one, and as a whole every text that this does not hold for: one with special strings,
-with white space side by side, or with the control characters on whose class Python and the library differ. The memory is
-bounded by ``MOST`` runs or ``PIECES`` pre-tokens and starts anew when full.
+with white space side by side, or with the control characters on whose class Python and the library differ. The memory of
+the word vocabulary is bounded by twice ``most`` runs and as many pre-tokens, of which those not met lately go; that of
+byte-level ones by ``PIECES`` pre-tokens, and starts anew when full. Workers live on for other operators' tasks, which
+let it go by ``forget``.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
 
-MOST = 400_000
+from .common import trim
+
+MOST = 200_000
 PIECES = 800_000
-#: Characters of a pre-token whose ids are remembered.
+#: Characters of a run or pre-token whose ids are remembered.
 SHORT = 64
 SPACE = r"\t-\r\x20\x85\p{Z}"
 #: The pre-token patterns of the public vocabularies.
@@ -66,6 +71,24 @@ class Known(dict):
         return ids
 
 
+class Recent(dict):
+    """Ids by run or pre-token; of short ones the last ``most`` to twice as many that were met. Old ones move back when met."""
+
+    def __init__(self, encode: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.encode, self.most, self.old = encode, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.old.get(piece)) is None:
+            ids = self.encode(piece)
+        if len(piece) <= SHORT:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Remembered:
     """Ids of whole texts for a tokenizers .json file of kind ``word`` or ``byte``; special strings become their ids.
 
@@ -74,17 +97,24 @@ class Remembered:
     #: White space beyond one space in front, and all of it in a pre-token of nothing else but a line break.
     odd = re.compile(r"(?!\A )\s|\A \Z")
 
-    def __init__(self, path: str, kind: str):
-        from tokenizers import Tokenizer, normalizers
+    def __init__(self, path: str, kind: str, most: int = MOST):
+        from tokenizers import Tokenizer
 
-        self.known: dict[str, bytes] = {}
-        self.whole, self.run = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.path, self.whole = path, Tokenizer.from_file(path)
         self.words = kind == "word"
-        if self.words:
-            self.run.normalizer = normalizers.Sequence([])  # runs are in normal form when they are cut
+        self.known = Recent(self.encode_run, most)
         self.model, self.split = self.whole.model, regex.compile(WORDS if self.words else BYTES).findall
         self.shown = {b: c for c, b in byte_letters().items()}
-        self.pieces = {} if self.words else Known(self.encode_piece)
+        self.pieces = Recent(self.merge, most) if self.words else Known(self.encode_piece)
+
+    @cached_property
+    def run(self):
+        """Of runs, which are in normal form when they are cut."""
+        from tokenizers import Tokenizer, normalizers
+
+        own = Tokenizer.from_file(self.path)
+        own.normalizer = normalizers.Sequence([])
+        return own
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -99,28 +129,10 @@ class Remembered:
             raise KeyError(piece)
         return self.merge(piece)
 
-    def encode_word(self, piece: str) -> bytes:
-        if (got := self.pieces.get(piece)) is None:
-            if len(self.pieces) > MOST:
-                self.pieces.clear()
-            got = self.pieces[piece] = self.merge(piece)
-        return got
-
     def encode_run(self, run: str) -> bytes:
         if unassigned(run):
             return np.array(self.run.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.encode_word, self.split(run)))
-
-    def joined(self, runs: list[str]) -> bytes:
-        """Ids of runs in a row."""
-        for _ in range(2):
-            try:
-                return b"".join(map(self.known.__getitem__, runs))
-            except KeyError:
-                if len(self.known) > MOST:
-                    self.known.clear()
-                self.known.update((r, self.encode_run(r)) for r in dict.fromkeys(runs) if r not in self.known)
-        raise AssertionError
+        return b"".join(map(self.pieces.__getitem__, self.split(run)))
 
     def ids(self, text: str | None) -> bytes:
         """A null text has no ids."""
@@ -129,7 +141,7 @@ class Remembered:
         if "<|" in text or self.words and re.search("[\x1c-\x1f]", text):
             return self.encode_whole(text)
         if self.words:
-            return self.joined(lowered(text).split())
+            return b"".join(map(self.known.__getitem__, lowered(text).split()))
         try:
             return b"".join(map(self.pieces.__getitem__, self.split(text)))
         except KeyError:
@@ -137,7 +149,15 @@ class Remembered:
 
 
 @lru_cache(maxsize=4)
-def remembered(path: str, kind: str) -> Remembered:
+def remembered(path: str, kind: str, most: int = MOST) -> Remembered:
     """One per worker process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Remembered(path, kind)
+    return Remembered(path, kind, most)
+
+
+def forget() -> None:
+    """Gives the memory of this worker's vocabularies back, for a task that has no use for them."""
+    if remembered.cache_info().currsize:
+        remembered.cache_clear()
+        gc.collect()
+        trim()

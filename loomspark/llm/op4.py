@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, cut, table
-from .memo import remembered
+from .memo import MOST, remembered
 
 
 def plan_runs(histogram: dict[int, int], limit: int) -> list[tuple[int, int, int, int, int]]:
@@ -74,11 +74,13 @@ def plan_runs(histogram: dict[int, int], limit: int) -> list[tuple[int, int, int
     return runs
 
 
-def tokenized_pieces(docs: DataFrame, path: str, kind: str, end_id: int, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Checkpointed narrow rows of all pieces, with the task's number and the number among its rows of that length."""
+def tokenized_pieces(docs: DataFrame, path: str, kind: str, end_id: int, limit: int, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+    """Checkpointed narrow rows of all pieces, with the task's number and the number among its rows of that length.
+
+    ``most``: bounds the ids that a worker remembers; the result is the same."""
 
     def run(batches):
-        own, end = remembered(path, kind), np.array([end_id], "<u4").tobytes()
+        own, end = remembered(path, kind, most), np.array([end_id], "<u4").tobytes()
         seen = np.zeros(limit + 1, np.int64)
         for batch in batches:
             out: list[tuple] = []
@@ -123,9 +125,9 @@ def pack(pieces: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
     return ranked.select(key, "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, f"{key} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, kind: str = "word", end_id: int = 1, limit: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, kind: str = "word", end_id: int = 1, limit: int = 4096, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id and offset."""
-    return pack(tokenized_pieces(docs, path, kind, end_id, limit, key, text), limit, key)
+    return pack(tokenized_pieces(docs, path, kind, end_id, limit, key, text, most), limit, key)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

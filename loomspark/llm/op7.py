@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import similar
+from . import memo, similar
 from .common import anew, arrow_rows, bit_table, components, cut, forest, table, unused, with_hits
 
 BITS = 4
@@ -112,6 +112,7 @@ def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "
     """Checkpointed (key, fp); fp is the fingerprint, or what ``of`` gives, as a signed long."""
 
     def run(batches):
+        memo.forget()
         for batch in batches:
             rows = [(k, of(t, words)) for k, t in arrow_rows(batch, "k", "t")]
             if rows:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import memo
 from .common import arrow_rows, cut, table, text_batches
 
 SAMPLE, LINES = 4000, 40
@@ -172,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = L
     types = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
 
     def run(batches):
+        memo.forget()
         for batch in batches:
             for rows in text_batches(arrow_rows(batch, "y", "t", "at")):
                 x, size, count = features([r[1] for r in rows])
@@ -227,6 +229,7 @@ def accepted(docs: DataFrame, model: dict | None, threshold: float, text: str =
 
     @F.arrow_udf("boolean")
     def good(texts: pa.Array) -> pa.Array:
+        memo.forget()
         parts = [scores([t for t, in rows], model) >= threshold for rows in text_batches(((t.as_py(),) for t in texts), lambda row: row[0])]
         return pa.array(np.concatenate(parts) if parts else [], pa.bool_())
 

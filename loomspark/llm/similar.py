@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import memo
 from .common import arrow_rows, components, cut, release
 
 EVERY, OFTEN, MOST = 8, 2, 200_000
@@ -131,6 +132,7 @@ def frequent(docs: DataFrame, words: int, text: str) -> tuple[np.ndarray, np.nda
     """Estimated: frequent shingles, sorted; their ranks; their numbers of sets."""
 
     def run(batches):
+        memo.forget()
         for batch in batches:
             for (t,) in arrow_rows(batch, "t"):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t, words))], names=["s"])
@@ -199,6 +201,7 @@ def confirmed(docs: DataFrame, tables: DataFrame, pairs: DataFrame, words: int,
     filled = filled.view(np.uint64)
 
     def sets(batches):
+        memo.forget()
         for batch in batches:
             names, own = [], []
             for (t,) in arrow_rows(batch, "t"):
@@ -240,6 +243,7 @@ def groups_of(docs: DataFrame, joined_prints: Callable[[DataFrame], DataFrame],
     tiles = np.maximum(1, -(-sets // TILE))
 
     def prefixes(batches):
+        memo.forget()
         for batch in batches:
             names, sizes, own, odd, prints = [], [], [], [], []
 

@@ -42,6 +42,21 @@ def test_tokens(docs, empty):
     assert got.count() == len(TEXTS) + 2 and op1.count_tokens(empty, P.path("word_bpe_49k.json"), 2048).count() == 0
 
 
+def test_memory_of_ids():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    own, text = memo.Remembered(path, "word", 50), " ".join(f"a{i % 170}'s {'xyz' * (i % 40)} b" for i in range(400))
+    assert own.ids(text) == np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    for held in (own.known, own.pieces):
+        kept = {**held.old, **held}
+        assert len(kept) <= 100 and max(map(len, kept)) <= memo.SHORT
+    assert "b" in {**own.known.old, **own.known}
+    memo.remembered(path, "word")
+    memo.forget()
+    assert memo.remembered.cache_info().currsize == 0
+
+
 def test_byte_bpe(docs):
     import tiktoken
 
