@@ -3,10 +3,12 @@
 The word vocabulary splits a text before it merges, and always between a non-space character and white space behind it.
 So the ids of a text are the ids of its runs between white space in a row, and a run that was seen before need not be
 encoded again. Byte-level vocabularies split by a pattern, and the ids of a text are those of its pre-tokens in a row.
+Their pattern always splits before a single space between other characters, so runs are cut there too, each with the
+space before it, and only runs not met lately are matched against the pattern.
 The library encodes every unseen one, and as a whole every text that this does not hold for: one with special strings,
 with white space side by side, or with the control characters on whose class Python and the library differ. The memory of
 the word vocabulary is bounded by twice ``most`` runs and as many pre-tokens, of which those not met lately go; that of
-byte-level ones by ``PIECES`` pre-tokens, and starts anew when full. Workers live on for other operators' tasks, which
+byte-level ones by twice ``RUNS`` runs likewise and ``PIECES`` other pre-tokens, which start anew when full. Workers live on for other operators' tasks, which
 let it go by ``forget``.
 """
 
@@ -27,6 +29,7 @@ from .common import trim
 
 MOST = 200_000
 PIECES = 800_000
+RUNS = 600_000
 #: Characters of a run or pre-token whose ids are remembered.
 SHORT = 64
 SPACE = r"\t-\r\x20\x85\p{Z}"
@@ -55,6 +58,9 @@ def unassigned(text: str) -> bool:
     return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text)
 
 
+packs = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 class Known(dict):
     """Ids by pre-token; those of short ones are remembered."""
 
@@ -105,7 +111,9 @@ class Remembered:
         self.known = Recent(self.encode_run, most)
         self.model, self.split = self.whole.model, regex.compile(WORDS if self.words else BYTES).findall
         self.shown = {b: c for c, b in byte_letters().items()}
+        self.space = self.shown[32]
         self.pieces = Recent(self.merge, most) if self.words else Known(self.encode_piece)
+        self.spaced = Recent(self.encode_spaced, RUNS)
 
     @cached_property
     def run(self):
@@ -120,8 +128,13 @@ class Remembered:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def merge(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        shown = piece.replace(" ", self.space) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.shown)
+        return self.merged(shown)
+
+    def merged(self, shown: str) -> bytes:
+        """Of a pre-token in stand-in letters."""
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return packs[len(ids)](*ids) if len(ids) < len(packs) else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_piece(self, piece: str) -> bytes:
         """KeyError: a text with this pre-token is encoded as a whole."""
@@ -129,6 +142,19 @@ class Remembered:
             raise KeyError(piece)
         return self.merge(piece)
 
+    def encode_spaced(self, run: str) -> bytes:
+        """Of a run behind a single space, with that space. KeyError, as of any text with white space side by side or at an end."""
+        if run.isalpha():  # one pre-token, of assigned characters
+            return self.merged(self.space + run) if run.isascii() else self.merge(" " + run)
+        if run[-1:] in (",", ".") and run[:-1].isalpha():
+            return self.spaced[run[:-1]] + self.pieces[run[-1]]
+        if not run or run[0].isspace() or run[-1].isspace():
+            raise KeyError(run)
+        first, *rest = self.split(" " + run)
+        if not rest:
+            return self.encode_piece(first)
+        return self.spaced[first[1:]] + b"".join(map(self.pieces.__getitem__, rest))
+
     def encode_run(self, run: str) -> bytes:
         if unassigned(run):
             return np.array(self.run.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
@@ -142,6 +168,12 @@ class Remembered:
             return self.encode_whole(text)
         if self.words:
             return b"".join(map(self.known.__getitem__, lowered(text).split()))
+        first, *runs = text.split(" ")
+        try:
+            if first and not first[-1].isspace():
+                return b"".join([*map(self.pieces.__getitem__, self.split(first)), *map(self.spaced.__getitem__, runs)])
+        except KeyError:
+            pass
         try:
             return b"".join(map(self.pieces.__getitem__, self.split(text)))
         except KeyError:

@@ -13,8 +13,10 @@ order-1 confidence (none, where that order has another candidate), and by how of
 beside one by no context. An id that no candidate gives is coded by order 0 alone: four 16-way digits with adaptive
 counts, each in the context of the digits before it. All arithmetic is in integers, so every machine decodes alike.
 
-Lockstep. Python is too slow for one id at a time, so all blocks of a group advance together, one id per step, with
-NumPy over blocks. Carries of the range coder are added to words already written and settled at the end.
+Two programs of the same coder write the same bytes and read each other's. Spark's tasks use the one in ``TokenIds.java``,
+one id after another: texts are cut into ids in Python, and blocks are coded, decoded and checked in the JVM. The one here
+needs no Spark. Python is too slow for one id at a time, so in it all blocks of a group advance together, one id per step,
+with NumPy over blocks. Carries of the range coder are added to words already written and settled at the end.
 
 Null and empty texts are documents of the end id alone. Repeated keys keep their rows, next to one another. An empty
 table gives no rows. Other columns are ignored.
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, cut, remove, shared_dir, table
+from .jvm import function
 from .memo import remembered
 
 MAGIC = b"LMX1"
@@ -257,11 +260,24 @@ def decode_ids(data: bytes) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def pack_group(keys: list[int | None], ids: list[bytes]) -> bytes:
-    """A group's payload."""
+def group_head(keys: list[int | None], sizes: list[int]) -> bytes:
+    """What lies before a group's blocks."""
     known = np.array([k is not None for k in keys], "u1")
-    head = zlib.compress(known.tobytes() + np.array([k or 0 for k in keys], "<i8").tobytes() + np.array([len(x) // 4 for x in ids], "<u8").tobytes())
-    return MAGIC + struct.pack("<II", len(keys), len(head)) + head + encode_ids(np.frombuffer(b"".join(ids), "<u4").astype(np.int64))
+    head = zlib.compress(known.tobytes() + np.array([k or 0 for k in keys], "<i8").tobytes() + np.array(sizes, "<u8").tobytes())
+    return MAGIC + struct.pack("<II", len(keys), len(head)) + head
+
+
+def narrow_ids(ids: list[bytes]) -> bytes:
+    """Ids of four bytes as unsigned 16-bit numbers."""
+    whole = np.frombuffer(b"".join(ids), "<u4")
+    if len(whole) and int(whole.max()) > 0xFFFF:
+        raise ValueError("ids of more than 16 bits")
+    return whole.astype("<u2").tobytes()
+
+
+def pack_group(keys: list[int | None], ids: list[bytes]) -> bytes:
+    """A group's payload, as Spark's tasks make it of ``group_head`` and the JVM's coder."""
+    return group_head(keys, [len(x) // 4 for x in ids]) + encode_ids(np.frombuffer(narrow_ids(ids), "<u2").astype(np.int64))
 
 
 def unpack_group(payload: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -285,7 +301,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, kind: str = "byte", e
         keys, ids, size = [], [], 0
 
         def group():
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([pack_group(keys, ids)], pa.binary())], names=["part", "number", "n_ids", "payload"])
+            row = part, number, size, group_head(keys, [len(x) // 4 for x in ids]), narrow_ids(ids)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "number", "n_ids", "head", "ids"])
 
         for batch in batches:
             for k, t in arrow_rows(batch, "k", "t"):
@@ -300,32 +317,21 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, kind: str = "byte", e
 
     # rows that share a key, or have none, may lie in several partitions, one behind the other
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).repartitionByRange("k", "h").sortWithinPartitions("k", "h")
-    rows.mapInArrow(run, "part int, number long, n_ids long, payload binary").write.parquet(path)
+    groups = rows.mapInArrow(run, "part int, number long, n_ids long, head binary, ids binary")
+    groups.select("part", "number", "n_ids", F.concat("head", function(docs.sparkSession, "TokenIds", "Encode", "binary", "ids")).alias("payload")).write.parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """Decodes files of ``write_ids``: key, start (ids of all documents before), n_tokens, ids_crc32."""
 
-    def run(batches):
-        for batch in batches:
-            for part, number, payload in ((*(batch.column(i)[j].as_py() for i in (0, 1, 2)),) for j in range(batch.num_rows)):
-                keys, before, sizes, sums, at = [], [], [], [], 0
-                for k, ids in unpack_group(payload):
-                    keys.append(k)
-                    before.append(at)
-                    sizes.append(len(ids))
-                    sums.append(zlib.crc32(ids.tobytes()))
-                    at += len(ids)
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int64()), pa.array(keys, pa.int64()), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], names=["part", "number", key, "inner", "n_tokens", "ids_crc32"])
-
     files = spark.read.schema("part int, number long, n_ids long, payload binary").parquet(path)
     # one row for each task of the writer, then one for each group of a task
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     earlier = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     groups = files.select("part", "number", "n_ids").withColumn("inside", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
     base = groups.join(parts.select("part", "before"), "part").select("part", "number", (F.col("before") + F.col("inside")).alias("base"))
-    rows = files.select("part", "number", "payload").mapInArrow(run, f"part int, number long, {key} long, inner long, n_tokens long, ids_crc32 long")
+    found = function(spark, "TokenIds", "Decode", f"array<struct<{key}: bigint, inner: bigint, n_tokens: bigint, ids_crc32: bigint>>", "payload")
+    rows = files.select("part", "number", F.inline(found))
     return rows.join(base, ["part", "number"]).select(key, (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -1,6 +1,7 @@
 """Fingerprints, covering codes, chains, token files and packing against independent ways; the queries' own columns."""
 
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loomspark.llm import op3, op4, op6, op7, op8, op10
-from loomspark.llm.memo import remembered
+from loomspark.llm.memo import Remembered, remembered
 
 
 def plain_fingerprint(text, words):
@@ -152,3 +153,38 @@ def test_digits_adapt_as_sixteen_counts():
         grid[k, : len(w)] = w
     coder, counts = op10.Coder(lanes, grid), np.full((lanes, 4), op10.ONES, np.int64)
     assert all((coder.digit(lane, counts, lane, None) == row).all() for row in digits)
+
+
+def test_token_ids_in_the_jvm(spark):
+    """Spark's tasks code ids in the JVM, with the bytes of the NumPy coder, and find damage."""
+    from loomspark.llm import jvm
+
+    rng = np.random.default_rng(8)
+    groups = [rng.zipf(1.3, n) % 50000 for n in (0, 1, 2048, 2049, 7000)] + [rng.integers(0, 65536, 5000), np.tile(rng.integers(0, 60000, 40), 130)]
+    rows = spark.createDataFrame([(k, bytearray(ids.astype("<u2").tobytes())) for k, ids in enumerate(groups)], "k int, ids binary")
+    found = dict(rows.select("k", jvm.function(spark, "TokenIds", "Encode", "binary", "ids")).collect())
+    assert [bytes(found[k]) for k in range(len(groups))] == [op10.encode_ids(ids) for ids in groups]
+
+    def documents(payload):
+        kind = "array<struct<doc_id: bigint, inner: bigint, n_tokens: bigint, ids_crc32: bigint>>"
+        return spark.createDataFrame([(payload,)], "payload binary").select(F.inline(jvm.function(spark, "TokenIds", "Decode", kind, "payload"))).collect()
+
+    for ids in groups:
+        n = len(ids) // 3
+        parts, payload = [ids[:n], ids[n:]], bytearray(op10.pack_group([None, -7], [x.astype("<u4").tobytes() for x in (ids[:n], ids[n:])]))
+        assert [tuple(r) for r in documents(payload)] == [(k, at, len(x), zlib.crc32(x.astype("<u4").tobytes())) for k, at, x in zip((None, -7), (0, n), parts)]
+        if len(ids) > 2048:
+            payload[-len(payload) // 4] ^= 255
+            with pytest.raises(Exception, match="is damaged"):
+                documents(payload)
+
+
+def test_byte_level_runs():
+    """Texts cut at single spaces have the library's ids, whatever white space they hold, and runs are remembered."""
+    own, rng = Remembered(P.path("byte_bpe_50k.json"), "byte"), random.Random(5)
+    letters = [*"ab1.,'s \n\t é漢ß<|\xa0\u2003\x1c\x85\u0301\u200b\u0378", "  ", "'ll", "word", "<|endoftext|>", " x"]
+    for _ in range(5000):
+        text = "".join(rng.choices(letters, k=rng.randrange(14)))
+        assert own.ids(text) == (own.encode_whole(text) if text else b""), repr(text)
+    own.ids("some words, in a\nrow")
+    assert {"words", "words,", "in"} <= own.spaced.keys()
